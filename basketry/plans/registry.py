@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import catalog
 from . import row_queries  # noqa: F401
 from . import basket_queries  # noqa: F401
+from . import graph_queries  # noqa: F401
 
 
 def _run(f, spark: SparkSession, sf_dir: str) -> DataFrame:
