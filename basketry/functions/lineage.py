@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_DIRS: dict[str, str] = {}
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session: the cluster's ``spark.checkpoint.dir``, or a local one in local mode."""
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode (tests)."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="basketry-checkpoint-")
-    sc.setCheckpointDir(configured)
-    return configured
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="basketry-checkpoint-")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and continue from the stored copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a parquet table in the checkpoint folder and continue from the written table.
+
+    A written table rather than ``checkpoint()``: the plan that follows then starts from the real file sizes, so
+    small state is broadcast by Spark's own size check. (A checkpointed DataFrame keeps the size *estimate* of its
+    plan, which joins multiply; over the rounds of an iteration that estimate grows without bound.)
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.lineage import cut_lineage
 from .graph import modularity, symmetric
@@ -45,9 +45,10 @@ def _move_round(sym: DataFrame, nodes: DataFrame, part: DataFrame, m2: float, re
 
 
 def _refine(edges: DataFrame, part: DataFrame, resolution: float, max_rounds: int) -> tuple[DataFrame, float]:
-    """Local moves from a partition until nothing moves; returns the best partition met and its modularity.
+    """Local moves from a partition until modularity stops rising; returns the best partition and its modularity.
 
-    ``edges`` may hold self-loops. Driver traffic is two numbers per round (moved nodes, modularity).
+    ``edges`` may hold self-loops. A round is two half-rounds, one per hash parity. Driver traffic is two numbers
+    per round: the moves, observed while the new partition is written, and the modularity.
     """
     plain = edges.filter(F.col("src") != F.col("dst"))
     loops = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.col("weight").alias("w"))
@@ -58,22 +59,20 @@ def _refine(edges: DataFrame, part: DataFrame, resolution: float, max_rounds: in
     best = current = part
     if m2 == 0:
         return best, best_q
-    idle = 0
-    for step in range(2 * max_rounds):
-        moved = cut_lineage(_move_round(sym, nodes, current, m2, resolution, step % 2))
-        n = moved.filter("moved").count()
-        current = moved.select("node", "community")
-        if n == 0:
-            idle += 1
-            if idle == 2:
-                break
-            continue
-        idle = 0
+    for _ in range(max_rounds):
+        moves = 0
+        for parity in (0, 1):
+            seen = Observation()
+            step = _move_round(sym, nodes, current, m2, resolution, parity)
+            step = cut_lineage(step.observe(seen, F.sum(F.col("moved").cast("long")).alias("n")))
+            moves += seen.get["n"] or 0
+            current = step.select("node", "community")
+        if moves == 0:
+            break
         q = modularity(edges, current, resolution).first()[0]
-        if q > best_q + EPSILON:
-            best, best_q = current, q
-        elif step % 2 == 1:
+        if q <= best_q + EPSILON:
             break
+        best, best_q = current, q
     return best, best_q
 
 

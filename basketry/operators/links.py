@@ -144,6 +144,11 @@ def target_similarity(item_targets: DataFrame) -> DataFrame:
 
 def predict_with_targets(edges: DataFrame, item_targets: DataFrame, top_n: int = 50,
                          weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
+    """Best unlinked pairs by the combined score of :func:`combined_scores`."""
+    return combined_scores(edges, item_targets, weights).orderBy(F.desc("score"), "item_a", "item_b").limit(top_n)
+
+
+def combined_scores(edges: DataFrame, item_targets: DataFrame, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
     """Unlinked pairs by ``w1 * Adamic-Adar + w2 * Jaccard + w3 * target similarity``.
 
     Candidates are pairs with a common neighbour or a common target; both ends must be graph nodes.
@@ -157,9 +162,8 @@ def predict_with_targets(edges: DataFrame, item_targets: DataFrame, top_n: int =
         {"adamic_adar": 0.0, "jaccard": 0.0, "target_similarity": 0.0, "common_targets": 0})
     wa, wj, wt = weights
     score = wa * F.col("adamic_adar") + wj * F.col("jaccard") + wt * F.col("target_similarity")
-    out = both.withColumn("score", score).select(
+    return both.withColumn("score", score).select(
         "item_a", "item_b", "score", "adamic_adar", "jaccard", "target_similarity", "common_targets", F.lit("combined").alias("method"))
-    return out.orderBy(F.desc("score"), "item_a", "item_b").limit(top_n)
 
 
 def items_for_target(item_targets: DataFrame, items: DataFrame, target: str, top_n: int = 20) -> DataFrame:

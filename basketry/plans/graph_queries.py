@@ -162,9 +162,10 @@ def community_detail(t: Tables) -> DataFrame:
 CONTRACT = (*PROPERTY_GRAPH, ("m", "SELECT 'item_' || name AS id, 'group_' || category AS g FROM items"))
 
 
-@query("contracted_edges", with_ctes(*CONTRACT, body=(
-    "SELECT coalesce(a.g, source) AS source, coalesce(b.g, target) AS target, min(type) AS type, CAST(count(*) AS DOUBLE) AS weight FROM links "
-    "LEFT JOIN m a ON a.id = source LEFT JOIN m b ON b.id = target GROUP BY 1, 2 HAVING coalesce(a.g, source) <> coalesce(b.g, target)")))
+@query("contracted_edges", with_ctes(*CONTRACT, ("moved", (
+    "SELECT coalesce(a.g, source) AS source, coalesce(b.g, target) AS target, links.type FROM links "
+    "LEFT JOIN m a ON a.id = source LEFT JOIN m b ON b.id = target")), body=(
+    "SELECT source, target, min(type) AS type, CAST(count(*) AS DOUBLE) AS weight FROM moved WHERE source <> target GROUP BY 1, 2")))
 def contracted_edges(t: Tables) -> DataFrame:
     return G.contract_graph(_contractible(t), _edges(t), "item", threshold=50)[1]
 
@@ -289,7 +290,7 @@ def target_similarity(t: Tables) -> DataFrame:
     "round(coalesce(aa, 0), 6) AS adamic_adar, round(coalesce(jac, 0), 6) AS jaccard, round(coalesce(sim, 0), 6) AS target_similarity, coalesce(ct, 0) AS common_targets "
     "FROM scored s FULL JOIN sim2 k ON s.a = k.a AND s.b = k.b")))
 def links_with_targets(t: Tables) -> DataFrame:
-    out = L.predict_with_targets(Bd.graph_edges(t), Bd.item_targets(t), top_n=1_000_000_000)
+    out = L.combined_scores(Bd.graph_edges(t), Bd.item_targets(t))
     return out.select("item_a", "item_b", *[F.round(c, 6).alias(c) for c in ("score", "adamic_adar", "jaccard", "target_similarity")], "common_targets")
 
 
