@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def as_col(value) -> Column:
@@ -82,3 +82,12 @@ def map_get(mapping, key, default) -> Column:
 def literal_map(values: dict) -> Column:
     """MAP literal from a small Python dict."""
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once per row.
+
+    A filter or projection on a plain computed column is rewritten in terms of its expression, so a chain of
+    expensive columns would be repeated many times over. Generate is a boundary that is not crossed.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

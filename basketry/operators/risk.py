@@ -135,10 +135,8 @@ def infer_interactions(basket_items: DataFrame, pairs: DataFrame, families: Data
         F.lit(20.0).alias("risk_score"), F.lit(True).alias("inferred"), F.lit(4).alias("priority"))
 
     organ = reactions.filter(_mentions("type", words.organ_words)).select("item", "type").distinct()
-    oa = organ.withColumnsRenamed({"item": "item_a"})
-    ob = organ.withColumnsRenamed({"item": "item_b"})
-    shared = oa.join(ob, "type").filter(F.col("item_a") < F.col("item_b")).select("item_a", "item_b").distinct()
-    organs = met.join(shared, ["item_a", "item_b"], "left_semi").select(
+    shared = met.join(organ.withColumnRenamed("item", "item_a"), "item_a").join(organ.withColumnRenamed("item", "item_b"), ["item_b", "type"])
+    organs = shared.select("basket_id", "item_a", "item_b").distinct().select(
         "basket_id", "item_a", "item_b", F.lit(words.medium).alias("risk_level"), F.lit(words.organ_type).alias("interaction_type"),
         F.lit(35.0).alias("risk_score"), F.lit(True).alias("inferred"), F.lit(5).alias("priority"))
     return same.select(*cols).unionByName(similar.select(*cols)).unionByName(organs.select(*cols))

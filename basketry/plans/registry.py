@@ -11,6 +11,7 @@ from . import catalog
 from . import row_queries  # noqa: F401
 from . import basket_queries  # noqa: F401
 from . import graph_queries  # noqa: F401
+from . import text_queries  # noqa: F401
 
 
 def _run(f, spark: SparkSession, sf_dir: str) -> DataFrame:
