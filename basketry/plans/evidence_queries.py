@@ -220,14 +220,14 @@ def league_table(t: Tables) -> DataFrame:
 
 
 @query("league_matrix", with_ctes(*NMA, ("both_ways", "SELECT indication, t1 AS a, t2 AS b, d FROM net UNION ALL SELECT indication, t2, t1, -d FROM net"), body=(
-    "SELECT x.indication, x.treatment, count(b) AS compared, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS better FROM sc x LEFT JOIN both_ways w ON w.indication = x.indication AND w.a = x.treatment GROUP BY 1, 2")))
+    "SELECT x.indication, x.treatment, count(b) AS compared, max(CASE WHEN b = '5-LOW' THEN round(d, 3) + 0.0 END) AS against_low FROM sc x "
+    "LEFT JOIN both_ways w ON w.indication = x.indication AND w.a = x.treatment GROUP BY 1, 2")))
 def league_matrix(t: Tables) -> DataFrame:
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     m = M.league_matrix(_arms(t), names)
     cells = F.array(*[F.col(f"`{n}`") for n in names])
     compared = F.size(F.filter(cells, lambda c: ~c.isin("-", "NA")))
-    better = F.size(F.filter(cells, lambda c: ~c.isin("-", "NA") & ~c.startswith("-") & (c.try_cast("double") >= 0)))
-    return m.select("indication", F.col("row").alias("treatment"), compared.cast("long").alias("compared"), better.cast("long").alias("better"))
+    return m.select("indication", F.col("row").alias("treatment"), compared.cast("long").alias("compared"), (F.col("`5-LOW`").try_cast("double") + 0.0).alias("against_low"))
 
 
 @query("trials_summary", with_ctes(*ARMS, body="SELECT indication, count(DISTINCT trial_id) AS trials, min(year) AS first_year, max(year) AS last_year, CAST(sum(sample_size) AS BIGINT) AS total_patients FROM arms GROUP BY indication"))

@@ -13,6 +13,7 @@ from . import basket_queries  # noqa: F401
 from . import graph_queries  # noqa: F401
 from . import text_queries  # noqa: F401
 from . import evidence_queries  # noqa: F401
+from . import dose_queries  # noqa: F401
 
 
 def _run(f, spark: SparkSession, sf_dir: str) -> DataFrame:
