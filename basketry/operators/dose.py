@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.lineage import cut_lineage
 from ..functions.ranks import ranked, upper_median
@@ -93,7 +93,7 @@ def _sums(rows: DataFrame, by: Sequence[str]) -> DataFrame:
                       square("u").alias("xtx"), F.array(*[F.col(f"_uy{i}") for i in range(P)]).alias("xty"))
 
 
-@F.pandas_udf("struct<coef:array<double>,rank:int>")
+@F.pandas_udf(T.StructType([T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("rank", T.IntegerType())]))
 def _solve(a: pd.Series, b: pd.Series, p: pd.Series) -> pd.DataFrame:
     """Minimum-norm solution of small symmetric systems (p x p corner of a 6 x 6 array), a batch at a time."""
     coef, rank = [None] * len(a), [0] * len(a)
