@@ -15,6 +15,7 @@ from . import text_queries  # noqa: F401
 from . import evidence_queries  # noqa: F401
 from . import dose_queries  # noqa: F401
 from . import risk_queries  # noqa: F401
+from . import stream_queries  # noqa: F401
 
 
 def _run(f, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from .catalog import Tables, query, with_ctes
 from .text_queries import _evaluated, GRADED
 
 NAMES = ("nm", "SELECT p_name AS item, count(*) AS c FROM part GROUP BY p_name")
-TOXIC = ("toxic", "SELECT item, CAST(c % 50 + 5 AS DOUBLE) AS ld50, 30.0 + c % 20 AS max_dose, CASE c % 4 WHEN 0 THEN 'banned' WHEN 1 THEN 'caution' ELSE '' END AS pregnancy FROM nm WHERE c % 3 = 0")
+TOXIC = ("toxic", "SELECT item, CAST(c % 50 + 5 AS DOUBLE) AS ld50, CAST(30.0 + c % 20 AS DOUBLE) AS max_dose, CASE c % 4 WHEN 0 THEN 'banned' WHEN 1 THEN 'caution' ELSE '' END AS pregnancy FROM nm WHERE c % 3 = 0")
 FAMILIES = ("families", "SELECT item, split_part(item, ' ', 2) AS family, CASE WHEN split_part(item, ' ', 2) < 'm' THEN 'heart+nerve' ELSE 'liver+gut' END AS toxicity_type, "
                         "CASE WHEN split_part(item, ' ', 2) < 'h' THEN 'high' ELSE 'medium' END AS base_risk FROM nm WHERE c % 2 = 0")
 REACTIONS = ("reactions", "SELECT p_name AS item, CASE p_type WHEN 'PROMO' THEN 'liver' WHEN 'SMALL' THEN 'kidney' WHEN 'LARGE' THEN 'heart' ELSE 'skin' END || ' ' || lower(p_type) AS type, "
@@ -21,7 +21,7 @@ PAIRS = [("adj", "SELECT least(a.p_name, b.p_name) AS herb_a, greatest(a.p_name,
                    "'adjacent' AS interaction_type FROM adj WHERE c % 4 = 1")]
 KNOWLEDGE = [Bd.BI, NAMES, TOXIC, FAMILIES, REACTIONS, *PAIRS,
              ("known", "SELECT herb_a AS item_a, herb_b AS item_b, risk_level, interaction_type, round(CASE risk_level WHEN 'extreme' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.45 WHEN 'low' THEN 0.2 ELSE 0.3 END * "
-                       "CASE evidence_level WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.8 WHEN 'C' THEN 0.5 ELSE 0.3 END * 100, 2) AS risk_score FROM pairs")]
+                       "CASE evidence_level WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.8 WHEN 'C' THEN 0.5 ELSE 0.3 END * 100, 2)::DOUBLE AS risk_score FROM pairs")]
 COLS = "basket_id, item_a, item_b, risk_level, interaction_type, risk_score, inferred, priority"
 DETECTED = [
     *KNOWLEDGE,
@@ -31,11 +31,11 @@ DETECTED = [
     ("r_toxic", "SELECT basket_id, item_a, item_b, CASE WHEN risk > 0.5 THEN 'high' ELSE 'medium' END AS risk_level, 'toxic overlap' AS interaction_type, round(risk * 100, 2) AS risk_score, false AS inferred, 2 AS priority FROM r_toxic0"),
     ("unk", "SELECT bp.* FROM bp LEFT JOIN known ON known.item_a = bp.item_a AND known.item_b = bp.item_b WHERE known.item_a IS NULL"),
     ("fam", "SELECT unk.*, x.family AS fa, y.family AS fb, x.base_risk AS br FROM unk JOIN families x ON x.item = item_a JOIN families y ON y.item = item_b"),
-    ("r_same", "SELECT basket_id, item_a, item_b, CASE WHEN br = 'high' THEN 'high' ELSE 'medium' END AS risk_level, 'inferred family toxicity' AS interaction_type, CASE WHEN br = 'high' THEN 55.0 ELSE 43.0 END AS risk_score, true AS inferred, 3 AS priority FROM fam WHERE fa = fb"),
+    ("r_same", "SELECT basket_id, item_a, item_b, CASE WHEN br = 'high' THEN 'high' ELSE 'medium' END AS risk_level, 'inferred family toxicity' AS interaction_type, CASE WHEN br = 'high' THEN CAST(55.0 AS DOUBLE) ELSE 43.0 END AS risk_score, true AS inferred, 3 AS priority FROM fam WHERE fa = fb"),
     ("ana", "SELECT DISTINCT x.family AS f1, y.family AS f2 FROM pairs JOIN families x ON x.item = herb_a JOIN families y ON y.item = herb_b"),
-    ("r_ana", "SELECT basket_id, item_a, item_b, 'low' AS risk_level, 'inferred analogy' AS interaction_type, 20.0 AS risk_score, true AS inferred, 4 AS priority FROM fam JOIN ana ON f1 = fa AND f2 = fb"),
+    ("r_ana", "SELECT basket_id, item_a, item_b, 'low' AS risk_level, 'inferred analogy' AS interaction_type, CAST(20.0 AS DOUBLE) AS risk_score, true AS inferred, 4 AS priority FROM fam JOIN ana ON f1 = fa AND f2 = fb"),
     ("org", "SELECT DISTINCT x.item AS oa, y.item AS ob FROM reactions x JOIN reactions y ON x.type = y.type AND x.item < y.item WHERE x.type LIKE '%liver%' OR x.type LIKE '%kidney%'"),
-    ("r_org", "SELECT basket_id, item_a, item_b, 'medium' AS risk_level, 'inferred shared organ' AS interaction_type, 35.0 AS risk_score, true AS inferred, 5 AS priority FROM unk JOIN org ON oa = item_a AND ob = item_b"),
+    ("r_org", "SELECT basket_id, item_a, item_b, 'medium' AS risk_level, 'inferred shared organ' AS interaction_type, CAST(35.0 AS DOUBLE) AS risk_score, true AS inferred, 5 AS priority FROM unk JOIN org ON oa = item_a AND ob = item_b"),
     ("every", " UNION ALL ".join(f"SELECT {COLS} FROM {x}" for x in ("r_known", "r_toxic", "r_same", "r_ana", "r_org"))),
     ("found", "SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY basket_id, item_a, item_b ORDER BY priority) = 1"),
 ]
@@ -134,7 +134,7 @@ def expanded_reactions(t: Tables) -> DataFrame:
 @query("expanded_profiles", with_ctes(*KNOWLEDGE, TYPE_RULES, (
     "inf", "SELECT families.item, count(*) AS n FROM families JOIN rules ON strpos(toxicity_type, word) > 0 WHERE NOT EXISTS (SELECT 1 FROM reactions r WHERE r.item = families.item AND r.type = rules.type) GROUP BY 1"), body=(
     "SELECT nm.item, toxic.item IS NOT NULL AS base_known, family, CASE WHEN coalesce(pregnancy, '') <> '' THEN pregnancy WHEN family IS NOT NULL THEN 'banned' ELSE 'unknown' END AS pregnancy_risk, "
-    "coalesce(n, 0) AS inferred_count, CASE WHEN toxic.item IS NOT NULL THEN 0.7 ELSE 0.4 END AS confidence FROM nm LEFT JOIN toxic ON toxic.item = nm.item LEFT JOIN families ON families.item = nm.item LEFT JOIN inf ON inf.item = nm.item")))
+    "coalesce(n, 0) AS inferred_count, CASE WHEN toxic.item IS NOT NULL THEN CAST(0.7 AS DOUBLE) ELSE 0.4 END AS confidence FROM nm LEFT JOIN toxic ON toxic.item = nm.item LEFT JOIN families ON families.item = nm.item LEFT JOIN inf ON inf.item = nm.item")))
 def expanded_profiles(t: Tables) -> DataFrame:
     k = Knowledge(t)
     items = t.part.select(F.col("p_name").alias("item")).distinct()
@@ -238,12 +238,12 @@ def _case_profiles(t: Tables) -> DataFrame:
 
 
 @query("enriched_baskets", with_ctes(*ASSESSED, *[(n + "_g" if n == "ana" else n, s.replace("FROM ana", "FROM ana_g")) for n, s in GRADED], CASE_PROFILE, body=(
-    "SELECT o_orderkey AS basket_id, round(m, 4) AS efficacy_score, round(d, 4) AS efficacy_days, round(score * 100, 6) AS risk_score, risk_level FROM orders "
+    "SELECT o_orderkey AS basket_id, round(m, 8) AS efficacy_score, round(d, 4) AS efficacy_days, round(score * 100, 6) AS risk_score, risk_level FROM orders "
     "LEFT JOIN prof ON prof.basket_id = o_orderkey LEFT JOIN assessed ON assessed.basket_id = o_orderkey")))
 def enriched_baskets(t: Tables) -> DataFrame:
     """Documents are cases of orders (500 order ids share them), written back with the risk assessment."""
     out = R.enrich_baskets(Bd.baskets(t).select("basket_id"), _case_profiles(t), _assess(t, Knowledge(t)))
-    return out.select("basket_id", F.round("efficacy_score", 4).alias("efficacy_score"), F.round("efficacy_days", 4).alias("efficacy_days"),
+    return out.select("basket_id", F.round("efficacy_score", 8).alias("efficacy_score"), F.round("efficacy_days", 4).alias("efficacy_days"),
                       F.round("risk_score", 6).alias("risk_score"), "risk_level")
 
 

@@ -174,10 +174,10 @@ PROFILE = ("prof", "SELECT source, avg(sc) AS m, count(*) AS n, CASE WHEN count(
 
 
 @query("efficacy_profile", with_ctes(*GRADED, CASES, PROFILE, body=(
-    "SELECT source, round(m, 4) AS avg_efficacy_score, n AS total_cases, round(d, 4) AS avg_days_to_effect, round(greatest(0, m - 1.96 * se), 4) AS ci_low, round(least(100, m + 1.96 * se), 4) AS ci_high FROM prof")))
+    "SELECT source, round(m, 8) AS avg_efficacy_score, n AS total_cases, round(d, 4) AS avg_days_to_effect, round(greatest(0, m - 1.96 * se), 6) AS ci_low, round(least(100, m + 1.96 * se), 6) AS ci_high FROM prof")))
 def efficacy_profile(t: Tables) -> DataFrame:
     out = P.efficacy_profile(_cases(t), ["source"])
-    return out.select("source", "total_cases", *[F.round(c, 4).alias(c) for c in ("avg_efficacy_score", "avg_days_to_effect", "ci_low", "ci_high")])
+    return out.select("source", "total_cases", *[F.round(c, d).alias(c) for c, d in (("avg_efficacy_score", 8), ("avg_days_to_effect", 4), ("ci_low", 6), ("ci_high", 6))])
 
 
 @query("grade_histogram", with_ctes(*GRADED, CASES, body="SELECT source, efficacy_grade, count(*) AS count FROM cases GROUP BY 1, 2"))
@@ -192,10 +192,10 @@ def grade_map(t: Tables) -> DataFrame:
 
 
 @query("ranked_profiles", with_ctes(*GRADED, CASES, PROFILE, body=(
-    "SELECT source, round(m, 4) AS avg_efficacy_score, n AS total_cases, (SELECT count(*) FROM prof WHERE n >= 3) AS total FROM prof WHERE n >= 3 ORDER BY m DESC, source LIMIT 10 OFFSET 2")))
+    "SELECT source, round(m, 8) AS avg_efficacy_score, n AS total_cases, (SELECT count(*) FROM prof WHERE n >= 3) AS total FROM prof WHERE n >= 3 ORDER BY m DESC, source LIMIT 10 OFFSET 2")))
 def ranked_profiles(t: Tables) -> DataFrame:
     out = P.rank_profiles(P.efficacy_profile(_cases(t), ["source"]), "source", 3, 2, 10)
-    return out.select("source", F.round("avg_efficacy_score", 4).alias("avg_efficacy_score"), "total_cases", "total")
+    return out.select("source", F.round("avg_efficacy_score", 8).alias("avg_efficacy_score"), "total_cases", "total")
 
 
 EXPECTED = "SELECT doc_id, 'toxic' AS label FROM labels WHERE toxic = 1"
