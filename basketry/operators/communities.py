@@ -17,37 +17,39 @@ def _node_weights(sym: DataFrame, loops: DataFrame) -> DataFrame:
     return parts.groupBy("node").agg(F.sum("w").alias("k"))
 
 
-def _move_round(sym: DataFrame, nodes: DataFrame, part: DataFrame, m2: float, resolution: float, parity: int) -> DataFrame:
-    """One round of moves: every node of the given hash parity goes to its best neighbouring community.
+def _move_round(sym: DataFrame, nodes: DataFrame, part: DataFrame, m2: float, resolution: float, turn) -> DataFrame:
+    """One half-round of moves: every node whose ``turn`` it is goes to its best neighbouring community.
 
-    Only half of the nodes move in a round, which keeps two neighbours from swapping for ever. Ties go to the
-    smallest community id, so a round is deterministic. Returns node, community, moved.
+    Only half of the nodes move at once, and of two single nodes only the one with the larger id joins the other, so
+    neighbours do not swap for ever. Ties go to the smallest community id, so a round is deterministic.
+    Returns node, community, moved.
     """
     near = part.select(F.col("node").alias("v"), F.col("community").alias("_c"))
     links = sym.join(near, "v").groupBy(F.col("u").alias("node"), "_c").agg(F.sum("w").alias("_kin"))
     own = part.select("node", F.col("community").alias("_c"), F.lit(0.0).alias("_kin"))
     cand = links.unionByName(own).groupBy("node", "_c").agg(F.sum("_kin").alias("_kin"))
     state = part.join(nodes, "node")
-    tot = state.groupBy(F.col("community").alias("_c")).agg(F.sum("k").alias("_tot"))
+    tot = state.groupBy(F.col("community").alias("_c")).agg(F.sum("k").alias("_tot"), F.count(F.lit(1)).alias("_size"))
+    stays = F.col("_c") == F.col("community")
     scored = (
         cand.join(state, "node").join(tot, "_c")
-        .withColumn("_rest", F.col("_tot") - F.when(F.col("_c") == F.col("community"), F.col("k")).otherwise(0.0))
+        .withColumn("_rest", F.col("_tot") - F.when(stays, F.col("k")).otherwise(0.0))
         .withColumn("_gain", F.col("_kin") - resolution * F.col("k") * F.col("_rest") / m2)
     )
     best = scored.groupBy("node", "community").agg(
         F.max("_gain").alias("_best"),
-        F.min_by("_c", F.struct(-F.col("_gain"), F.col("_c"))).alias("_to"),
-        F.max(F.when(F.col("_c") == F.col("community"), F.col("_gain"))).alias("_stay"),
-    )
-    turn = F.pmod(F.xxhash64("node"), F.lit(2)) == parity
-    go = turn & (F.col("_best") > F.col("_stay") + EPSILON * m2)
-    return best.select("node", F.when(go, F.col("_to")).otherwise(F.col("community")).alias("community"), go.alias("moved"))
+        F.min_by(F.struct("_c", "_size"), F.struct(-F.col("_gain"), F.col("_c"))).alias("_to"),
+        F.max(F.when(stays, F.col("_gain"))).alias("_stay"), F.max(F.when(stays, F.col("_size"))).alias("_own"))
+    to = F.col("_to")
+    swap = (F.col("_own") == 1) & (to["_size"] == 1) & (to["_c"] > F.col("community"))
+    go = turn & ~swap & (F.col("_best") > F.col("_stay") + EPSILON * m2)
+    return best.select("node", F.when(go, to["_c"]).otherwise(F.col("community")).alias("community"), go.alias("moved"))
 
 
 def _refine(edges: DataFrame, part: DataFrame, resolution: float, max_rounds: int) -> tuple[DataFrame, float]:
     """Local moves from a partition until modularity stops rising; returns the best partition and its modularity.
 
-    ``edges`` may hold self-loops. A round is two half-rounds, one per hash parity. Driver traffic is two numbers
+    ``edges`` may hold self-loops. A round is two half-rounds over a split of the nodes by hash. Driver traffic is two numbers
     per round: the moves, observed while the new partition is written, and the modularity.
     """
     plain = edges.filter(F.col("src") != F.col("dst"))
@@ -59,11 +61,12 @@ def _refine(edges: DataFrame, part: DataFrame, resolution: float, max_rounds: in
     best = current = part
     if m2 == 0:
         return best, best_q
-    for _ in range(max_rounds):
+    for number in range(max_rounds):
         moves = 0
+        half = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2))
         for parity in (0, 1):
             seen = Observation()
-            step = _move_round(sym, nodes, current, m2, resolution, parity)
+            step = _move_round(sym, nodes, current, m2, resolution, half == parity)
             step = cut_lineage(step.observe(seen, F.sum(F.col("moved").cast("long")).alias("n")))
             moves += seen.get["n"] or 0
             current = step.select("node", "community")
