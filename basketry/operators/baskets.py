@@ -48,7 +48,7 @@ def frequent_baskets(basket_items: DataFrame, min_support: float) -> tuple[DataF
     At most (mean basket size / min_support) items can be frequent, so that table and every remaining basket
     are small by construction, whatever the largest basket was. Equal baskets are merged with a multiplicity.
     """
-    items = basket_items.select("basket_id", "item").filter(F.col("item").isNotNull()).distinct()
+    items = cut_lineage(basket_items.select("basket_id", "item").filter(F.col("item").isNotNull()).distinct())
     n = basket_total(items)
     counts = cut_lineage(items.groupBy("item").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= _min_count(min_support, n)))
     kept = items.join(F.broadcast(counts.select("item")), "item", "left_semi")
@@ -134,7 +134,11 @@ def rank_rules(rules: DataFrame, limit: int) -> DataFrame:
 
 
 def pair_stats(basket_items: DataFrame, total: int | None = None) -> DataFrame:
-    """All co-occurring pairs with counts, support, both confidences and lift."""
+    """All co-occurring pairs with counts, support, both confidences and lift.
+
+    The de-duplicated basket table is stored once; counting, pairing and the item counts all read it.
+    """
+    basket_items = cut_lineage(basket_items.select("basket_id", "item").distinct())
     n = F.lit(basket_total(basket_items) if total is None else total)
     pairs = co_occurrence(basket_items).select("item_a", "item_b", "count")
     singles = item_counts(basket_items)

@@ -57,9 +57,12 @@ def _items(basket_items: DataFrame) -> DataFrame:
     return basket_items.select("basket_id", "item").filter(F.col("item").isNotNull()).distinct()
 
 
-def _relevant_pairs(bi: DataFrame, relevant: DataFrame) -> DataFrame:
-    """Pairs inside baskets, only among items of the ``relevant(item)`` table."""
-    kept = bi.join(relevant.select("item").distinct(), "item", "left_semi")
+def _pairs_among(bi: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``basket_id, item_a, item_b`` of the pairs inside baskets among items of the knowledge tables only."""
+    relevant = tables[0].select("item")
+    for other in tables[1:]:
+        relevant = relevant.union(other.select("item"))
+    kept = bi.join(relevant.distinct(), "item", "left_semi")
     return pairs_in_groups(kept, "basket_id", "item").select("basket_id", "item_a", "item_b")
 
 
@@ -76,70 +79,76 @@ def known_risk_pairs(basket_items: DataFrame, pairs: DataFrame, words: RiskWords
         "basket_id", "item_a", "item_b", "risk_level", "interaction_type", "risk_score", F.lit(False).alias("inferred"), F.lit(1).alias("priority"))
 
 
-def toxic_overlap_rules(toxic: DataFrame, words: RiskWords = RiskWords()) -> DataFrame:
-    """Per toxic item its share ``min(1, 10 / ld50)`` of the overlap risk (ld50 missing or 0 counts as 100)."""
+def _overlap_rules(kinds: DataFrame, toxic: DataFrame, words: RiskWords) -> DataFrame:
+    """Two toxic items: risk .2 + .6 x the larger ``min(1, 10 / ld50)`` (ld50 missing or 0 counts as 100)."""
     ld50 = F.coalesce(F.when(F.col("ld50") != 0, F.col("ld50")), F.lit(100.0))
-    return toxic.select("item", F.least(F.lit(1.0), 10.0 / ld50).alias("share"))
-
-
-def toxic_overlap_pairs(basket_items: DataFrame, toxic: DataFrame, words: RiskWords = RiskWords()) -> DataFrame:
-    """Two toxic items in one basket: risk .2 + .6 x the larger share, level cut at .5."""
-    shares = toxic_overlap_rules(toxic, words)
-    met = _relevant_pairs(_items(basket_items), toxic)
+    shares = toxic.select("item", F.least(F.lit(1.0), 10.0 / ld50).alias("share"))
     a = shares.withColumnsRenamed({"item": "item_a", "share": "_sa"})
     b = shares.withColumnsRenamed({"item": "item_b", "share": "_sb"})
     risk = 0.2 + 0.6 * F.greatest("_sa", "_sb")
-    return met.join(a, "item_a").join(b, "item_b").select(
-        "basket_id", "item_a", "item_b", F.when(risk > 0.5, words.high).otherwise(words.medium).alias("risk_level"),
-        F.lit(words.overlap_type).alias("interaction_type"), F.round(risk * 100, 2).alias("risk_score"),
-        F.lit(False).alias("inferred"), F.lit(2).alias("priority"))
+    return kinds.join(a, "item_a").join(b, "item_b").select(
+        *kinds.columns, F.when(risk > 0.5, words.high).otherwise(words.medium).alias("risk_level"),
+        F.lit(words.overlap_type).alias("interaction_type"), F.round(risk * 100, 2).alias("risk_score"), F.lit(False).alias("inferred"), F.lit(2).alias("priority"))
 
 
-def infer_interactions(basket_items: DataFrame, pairs: DataFrame, families: DataFrame, reactions: DataFrame,
-                       words: RiskWords = RiskWords()) -> DataFrame:
-    """Rule-based inferences for pairs that are not in the knowledge table.
-
-    (a) same toxic family; (b) families analogous to those of a known pair, in the order the known pair names them
-    (the basket order of the two items decides which is first, see ``item_pos``; item order without it);
-    (c) a shared liver or kidney reaction.
-    """
-    has_pos = "item_pos" in basket_items.columns
-    bi = _items(basket_items)
-    marked = families.select("item").union(reactions.select("item")).distinct()
-    met = _relevant_pairs(bi, marked)
-    known = pair_scores(pairs, words).select("item_a", "item_b")
-    met = cut_lineage(met.join(known, ["item_a", "item_b"], "left_anti"))
-    if has_pos:
-        pos = basket_items.groupBy("basket_id", "item").agg(F.min("item_pos").alias("_pos"))
-        met = (met.join(pos.withColumnsRenamed({"item": "item_a", "_pos": "_pa"}), ["basket_id", "item_a"])
-               .join(pos.withColumnsRenamed({"item": "item_b", "_pos": "_pb"}), ["basket_id", "item_b"]))
-        swap = F.col("_pb") < F.col("_pa")
-    else:
-        swap = F.lit(False)
+def _inference_rules(kinds: DataFrame, pairs: DataFrame, families: DataFrame, reactions: DataFrame, words: RiskWords) -> DataFrame:
+    """(a) same toxic family; (b) families analogous to those of a known pair, in the order the pair names them;
+    (c) a shared liver or kidney reaction."""
     fa = families.select(F.col("item").alias("item_a"), F.col("family").alias("_fa"), F.col("base_risk").alias("_base"))
     fb = families.select(F.col("item").alias("item_b"), F.col("family").alias("_fb"))
-    fam = met.join(fa, "item_a").join(fb, "item_b").withColumn("_swap", swap)
-    cols = ["basket_id", "item_a", "item_b", "risk_level", "interaction_type", "risk_score", "inferred", "priority"]
+    fam = kinds.join(fa, "item_a").join(fb, "item_b")
+    keys = kinds.columns
 
     score = F.least(F.lit(1.0), F.when(F.col("_base") == words.high, 0.3).otherwise(0.18) + 0.25)
     same = fam.filter(F.col("_fa") == F.col("_fb")).select(
-        "basket_id", "item_a", "item_b", F.when(score > 0.5, words.high).otherwise(words.medium).alias("risk_level"),
-        F.lit(words.family_type).alias("interaction_type"), F.round(score * 100, 2).alias("risk_score"),
-        F.lit(True).alias("inferred"), F.lit(3).alias("priority"))
-
-    analog = analogous_families(pairs, families)
-    ordered = fam.select("basket_id", "item_a", "item_b", F.when(F.col("_swap"), F.col("_fb")).otherwise(F.col("_fa")).alias("first_family"),
-                         F.when(F.col("_swap"), F.col("_fa")).otherwise(F.col("_fb")).alias("second_family"))
-    similar = ordered.join(analog, ["first_family", "second_family"], "left_semi").select(
-        "basket_id", "item_a", "item_b", F.lit(words.low).alias("risk_level"), F.lit(words.analogy_type).alias("interaction_type"),
+        *keys, F.when(score > 0.5, words.high).otherwise(words.medium).alias("risk_level"), F.lit(words.family_type).alias("interaction_type"),
+        F.round(score * 100, 2).alias("risk_score"), F.lit(True).alias("inferred"), F.lit(3).alias("priority"))
+
+    swapped = F.col("swapped")
+    ordered = fam.withColumn("first_family", F.when(swapped, F.col("_fb")).otherwise(F.col("_fa"))).withColumn(
+        "second_family", F.when(swapped, F.col("_fa")).otherwise(F.col("_fb")))
+    similar = ordered.join(analogous_families(pairs, families), ["first_family", "second_family"], "left_semi").select(
+        *keys, F.lit(words.low).alias("risk_level"), F.lit(words.analogy_type).alias("interaction_type"),
         F.lit(20.0).alias("risk_score"), F.lit(True).alias("inferred"), F.lit(4).alias("priority"))
 
     organ = reactions.filter(_mentions("type", words.organ_words)).select("item", "type").distinct()
-    shared = met.join(organ.withColumnRenamed("item", "item_a"), "item_a").join(organ.withColumnRenamed("item", "item_b"), ["item_b", "type"])
-    organs = shared.select("basket_id", "item_a", "item_b").distinct().select(
-        "basket_id", "item_a", "item_b", F.lit(words.medium).alias("risk_level"), F.lit(words.organ_type).alias("interaction_type"),
+    shared = kinds.join(organ.withColumnRenamed("item", "item_a"), "item_a").join(organ.withColumnRenamed("item", "item_b"), ["item_b", "type"])
+    organs = shared.select(*keys).distinct().select(
+        *keys, F.lit(words.medium).alias("risk_level"), F.lit(words.organ_type).alias("interaction_type"),
         F.lit(35.0).alias("risk_score"), F.lit(True).alias("inferred"), F.lit(5).alias("priority"))
-    return same.select(*cols).unionByName(similar.select(*cols)).unionByName(organs.select(*cols))
+    return same.unionByName(similar).unionByName(organs)
+
+
+def _with_order(met: DataFrame, basket_items: DataFrame) -> DataFrame:
+    """Add ``swapped``: the basket lists item_b before item_a (``item_pos``); false when positions are not given."""
+    if "item_pos" not in basket_items.columns:
+        return met.withColumn("swapped", F.lit(False))
+    pos = basket_items.groupBy("basket_id", "item").agg(F.min("item_pos").alias("_pos"))
+    j = (met.join(pos.withColumnsRenamed({"item": "item_a", "_pos": "_pa"}), ["basket_id", "item_a"])
+         .join(pos.withColumnsRenamed({"item": "item_b", "_pos": "_pb"}), ["basket_id", "item_b"]))
+    return j.select("basket_id", "item_a", "item_b", (F.col("_pb") < F.col("_pa")).alias("swapped"))
+
+
+KINDS = ["item_a", "item_b", "swapped"]
+FOUND = ["basket_id", "item_a", "item_b", "risk_level", "interaction_type", "risk_score", "inferred", "priority"]
+
+
+def toxic_overlap_pairs(basket_items: DataFrame, toxic: DataFrame, words: RiskWords = RiskWords()) -> DataFrame:
+    """Two toxic items in one basket."""
+    met = _pairs_among(_items(basket_items), toxic)
+    return met.join(_overlap_rules(met.select("item_a", "item_b").distinct(), toxic, words), ["item_a", "item_b"]).select(*FOUND)
+
+
+def infer_interactions(basket_items: DataFrame, pairs: DataFrame, families: DataFrame, reactions: DataFrame,
+                       words: RiskWords = RiskWords()) -> DataFrame:
+    """Rule-based inferences for pairs that are not in the knowledge table; a pair may match several rules.
+
+    A rule depends on the two items only, so rules are evaluated once per distinct pair and joined back.
+    """
+    met = _with_order(_pairs_among(_items(basket_items), families, reactions), basket_items)
+    known = pair_scores(pairs, words).select("item_a", "item_b")
+    kinds = met.select(*KINDS).distinct().join(known, ["item_a", "item_b"], "left_anti")
+    return met.join(_inference_rules(kinds.select(*KINDS), pairs, families, reactions, words), KINDS).select(*FOUND)
 
 
 def _mentions(column: str, words: tuple[str, ...]) -> Column:
@@ -158,11 +167,21 @@ def analogous_families(pairs: DataFrame, families: DataFrame) -> DataFrame:
 
 def detect_risk_pairs(basket_items: DataFrame, toxic: DataFrame, pairs: DataFrame, families: DataFrame | None = None,
                       reactions: DataFrame | None = None, words: RiskWords = RiskWords()) -> DataFrame:
-    """All risk pairs, one row per basket and unordered pair: known before toxic overlap before inference."""
-    found = known_risk_pairs(basket_items, pairs, words).unionByName(toxic_overlap_pairs(basket_items, toxic, words))
-    if families is not None and reactions is not None:
-        found = found.unionByName(infer_interactions(basket_items, pairs, families, reactions, words))
-    return first_per_key(found, ["basket_id", "item_a", "item_b"], [F.asc("priority")])
+    """All risk pairs, one row per basket and unordered pair: known before toxic overlap before inference.
+
+    The priority is settled on distinct item pairs (a table of the vocabulary, not of the baskets) and joined back to
+    the pairs of the baskets, so no basket-sized table is sorted.
+    """
+    bi = cut_lineage(_items(basket_items))
+    known_pairs = pair_scores(pairs, words).select("item_a", "item_b")
+    tables = [toxic] if families is None or reactions is None else [toxic, families, reactions]
+    met = _with_order(_pairs_among(bi, *tables), basket_items)
+    kinds = met.select(*KINDS).distinct().join(known_pairs, ["item_a", "item_b"], "left_anti").select(*KINDS)
+    rules = _overlap_rules(kinds, toxic, words)
+    if len(tables) > 1:
+        rules = rules.unionByName(_inference_rules(kinds, pairs, families, reactions, words))
+    rules = first_per_key(rules, KINDS, [F.asc("priority")])
+    return known_risk_pairs(bi, pairs, words).select(*FOUND).unionByName(met.join(rules, KINDS).select(*FOUND))
 
 
 def expand_profiles(items: DataFrame, toxic: DataFrame, families: DataFrame, reactions: DataFrame, type_rules: DataFrame,
