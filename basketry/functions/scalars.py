@@ -91,3 +91,8 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     expensive columns would be repeated many times over. Generate is a boundary that is not crossed.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def one_row(df: DataFrame) -> Column:
+    """A one-row table as a struct value (scalar subquery), to put several of them side by side without a join."""
+    return df.select(F.struct("*").alias("row")).scalar()

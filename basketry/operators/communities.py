@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from ..functions.lineage import cut_lineage
 from .graph import modularity, symmetric
 
-#: Moves must raise modularity by more than this.
+#: A single move must raise modularity by more than this.
 EPSILON = 1e-12
+#: A whole round must raise modularity by more than this for another one to follow.
+ROUND_GAIN = 1e-5
 
 
 def _node_weights(sym: DataFrame, loops: DataFrame) -> DataFrame:
@@ -73,9 +75,11 @@ def _refine(edges: DataFrame, part: DataFrame, resolution: float, max_rounds: in
         if moves == 0:
             break
         q = modularity(edges, current, resolution).first()[0]
-        if q <= best_q + EPSILON:
+        gain = q - best_q
+        if gain > EPSILON:
+            best, best_q = current, q
+        if gain <= ROUND_GAIN:
             break
-        best, best_q = current, q
     return best, best_q
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.groups import pairs_in_groups
 from ..functions.lineage import cut_lineage
 from ..functions.ranks import global_rank
-from ..functions.scalars import safe_div
+from ..functions.scalars import one_row, safe_div
 from .graph import symmetric
 
 NEIGHBOUR_METHODS = ("common_neighbors", "jaccard", "adamic_adar", "resource_allocation")
@@ -199,10 +199,11 @@ def pair_detail(basket_items: DataFrame, baskets: DataFrame, items: DataFrame, i
     common = strong.filter(F.col("u").isin(item_a, item_b)).groupBy("v").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 2)
     deg = strong.join(common.select(F.col("v").alias("u")), "u", "left_semi").groupBy("u").agg(F.count(F.lit(1)).alias("_d"))
     aa = deg.agg(F.coalesce(F.sum(F.when(F.col("_d") > 1, 1.0 / F.log("_d"))), F.lit(0.0)).alias("_aa"))
-    row = stats.join(overlap.join(known.join(aa)))  # four one-row tables
+    parts = [overlap, known, aa]
     for side, name in (("a", item_a), ("b", item_b)):
-        dim = items.filter(F.col("name") == name).agg(*[F.coalesce(F.first(x), F.lit("")).alias(f"{x}_{side}") for x in attributes])
-        row = row.join(dim)
+        parts.append(items.filter(F.col("name") == name).agg(*[F.coalesce(F.first(x), F.lit("")).alias(f"{x}_{side}") for x in attributes]))
+    row = stats.select("*", *[one_row(p).alias(f"_part{i}") for i, p in enumerate(parts)])
+    row = row.select(*stats.columns, *[f"_part{i}.*" for i in range(len(parts))])
     summary = row.withColumn("target_similarity", safe_div("common_target_count", "_all")).withColumn(
         "prediction_score", F.when(F.col("is_known_pair"), 0.0).otherwise(F.col("_aa"))).drop("_all", "_aa")
     both = search_by_items(basket_items, [item_a, item_b], match_all=True).select("basket_id")

@@ -34,4 +34,4 @@ def annotation_stats(queue: DataFrame, annotations: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_annotated"), F.coalesce(F.avg("human_score"), F.lit(0.0)).alias("avg_human_score"),
         *[F.coalesce(F.sum((F.col("human_grade") == g).cast("long")), F.lit(0)).alias(f"grade_{g}") for g in range(5)])
     pending = pending_reviews(queue, annotations).agg(F.count(F.lit(1)).alias("pending_review"))
-    return done.join(pending)  # two one-row tables
+    return done.withColumn("pending_review", pending.scalar())

@@ -186,15 +186,16 @@ def contracted_nodes(t: Tables) -> DataFrame:
 
 @query("louvain_communities")
 def louvain_communities(t: Tables) -> DataFrame:
-    return G.community_members(*(lambda e: (e, C.louvain(e, 1.0)))(Bd.graph_edges(t)))
+    edges = Bd.graph_edges(t)
+    return G.community_members(edges, C.louvain(edges, 1.0))
 
 
 @query("louvain_modularity")
 def louvain_modularity(t: Tables) -> DataFrame:
     edges = Bd.graph_edges(t)
     found = cut_lineage(C.louvain(edges, 1.0))
-    start = G.modularity(edges, C._singletons(edges)).select(F.col("modularity").alias("start_modularity"))
-    return G.modularity(edges, found).join(start).join(found.agg(F.count_distinct("community").alias("communities")))
+    start = G.modularity(edges, C._singletons(edges)).scalar()
+    return G.modularity(edges, found).select("modularity", start.alias("start_modularity"), found.agg(F.count_distinct("community")).scalar().alias("communities"))
 
 
 @query("louvain_refined")
@@ -205,7 +206,7 @@ def louvain_refined(t: Tables) -> DataFrame:
 
 @query("louvain_incremental")
 def louvain_incremental(t: Tables) -> DataFrame:
-    """Communities of the first orders' graph carried over to the whole graph."""
+    """Communities of one half of the edges carried over to the whole graph."""
     edges = Bd.graph_edges(t)
     previous = C.louvain(edges.filter(F.col("count") % 2 == 0))
     changed = edges.filter(F.col("count") % 2 == 1).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
