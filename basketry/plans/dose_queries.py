@@ -24,9 +24,9 @@ def _obs(t: Tables) -> DataFrame:
     return cut_lineage(D.dose_observations(_rows(t), ["item"], "dose", "resp"))
 
 
-@query("dose_observations", with_ctes(ROWS, OBS, body="SELECT item, dose, round(response, 6) AS response, weight, round(std_error, 6) AS std_error FROM obs"))
+@query("dose_observations", with_ctes(ROWS, OBS, body="SELECT item, dose, round(response, 9) AS response, weight, round(std_error, 9) AS std_error FROM obs"))
 def dose_observations(t: Tables) -> DataFrame:
-    return D.dose_observations(_rows(t), ["item"], "dose", "resp").withColumn("response", F.round("response", 6)).withColumn("std_error", F.round("std_error", 6))
+    return D.dose_observations(_rows(t), ["item"], "dose", "resp").withColumn("response", F.round("response", 9)).withColumn("std_error", F.round("std_error", 9))
 
 
 def _knot_sql(nk: int) -> str:
