@@ -206,11 +206,10 @@ def louvain_refined(t: Tables) -> DataFrame:
 
 @query("louvain_incremental")
 def louvain_incremental(t: Tables) -> DataFrame:
-    """Communities of one half of the edges carried over to the whole graph."""
+    """Communities of the stronger edges, carried over to the graph with all edges; nodes new to it start alone."""
     edges = Bd.graph_edges(t)
-    previous = C.louvain(edges.filter(F.col("count") % 2 == 0))
-    changed = edges.filter(F.col("count") % 2 == 1).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return C.louvain_incremental(edges, previous, changed)
+    mean = edges.agg(F.avg("count")).scalar()
+    return C.louvain_incremental(edges, C.louvain(edges.filter(F.col("count") >= mean), max_levels=2))
 
 
 # --- link prediction ----------------------------------------------------------------------------------------
