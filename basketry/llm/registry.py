@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lineage import checkpoint_dir
-from . import bpe, chunks, decontamination, language, lines, minhash, tokens, vectors
+from . import bpe, chunks, decontamination, language, lines, minhash, tokens, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,11 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_embedding_near_dedup"] = vectors.SQL
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), folder(spark, "warc"))
+
+
+ORACLES["op2_warc"] = warc.SQL
