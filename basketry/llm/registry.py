@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lineage import checkpoint_dir
-from . import bpe, chunks, decontamination, language, lines, minhash, tokens, vectors, warc
+from . import bpe, chat, chunks, decontamination, language, lines, minhash, tokens, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_warc"] = warc.SQL
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
