@@ -242,11 +242,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
 def without_repeats(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the passages of ``spans (doc_id, start, length)`` taken out of their texts."""
     cut = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("_spans"))
-    data, end = F.encode(F.col(text), "UTF-8"), F.octet_length(text)
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+    data, end = F.encode("t", "UTF-8"), F.octet_length("t")
     kept = F.aggregate(
         F.concat("_spans", F.array(F.struct(end.alias("start"), F.lit(0).alias("length")))), F.struct(F.lit(b"").alias("kept"), F.lit(0).alias("at")),
         lambda a, s: F.struct(F.concat(a["kept"], F.substring(data, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))).alias("kept"),
                               F.greatest(a["at"], s["start"] + s["length"]).alias("at")),
         lambda a: F.decode(a["kept"], "UTF-8"))
-    joined = docs.join(cut, F.col(doc_id).cast("long") == F.col("_doc"), "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(kept)).drop("_doc", "_spans")
+    new = F.when(F.col("_spans").isNull(), F.col("t")).otherwise(kept)
+    return rows.join(cut, F.col("id") == F.col("_doc"), "left").select(*(new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -21,7 +21,8 @@ tables that Spark splits when one key is hot, and no group is ever gathered.
 
 Defined cases: a null or empty text is one empty line (never dropped, as keys have ``min_length`` code points); rows that
 repeat a doc_id are cleaned each and count as one document; a null doc_id is a document too, and the smallest of all; a line
-that occurs twice in the keeping document stays twice; other columns are passed through.
+that occurs twice in the keeping document stays twice; other columns are passed through,
+but for ``n_lines`` and ``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
@@ -240,11 +241,13 @@ class LineStore:
         survivors = self._survivors(docs)
         drop = survivors.join(repeated, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         drop = drop.groupBy("doc_id").agg(F.collect_set("key").alias("_keys")).withColumnRenamed("doc_id", "_doc")
-        lines = lines_of(F.col(self.text))
-        joined = docs.join(drop, F.col(self.doc_id).cast("long").eqNullSafe(F.col("_doc")), "left")
-        kept = F.when(F.col("_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_keys", F.unhex(F.md5(line_key(x))))))
-        done = joined.withColumn("_kept", kept).withColumn("n_lines", F.size(lines).cast("long"))
-        return done.withColumn("n_dropped", F.col("n_lines") - F.size("_kept")).withColumn(self.text, F.array_join("_kept", "\n")).drop("_keys", "_kept", "_doc")
+        # the row travels as one value, so that no column of the caller's meets one of these
+        rows = docs.select(F.struct("*").alias("row"), F.col(self.doc_id).cast("long").alias("id"), lines_of(F.col(self.text)).alias("lines"))
+        joined = rows.join(drop, F.col("id").eqNullSafe(F.col("_doc")), "left")
+        kept = F.when(F.col("_keys").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("_keys", F.unhex(F.md5(line_key(x))))))
+        done = joined.select("row", F.size("lines").cast("long").alias("n"), kept.alias("kept"))
+        own = [F.array_join("kept", "\n").alias(c) if c == self.text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+        return done.select(*own, F.col("n").alias("n_lines"), (F.col("n") - F.size("kept")).alias("n_dropped"))
 
 
 def _build(key: tuple, table: pa.Table) -> pa.Table:
