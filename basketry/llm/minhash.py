@@ -9,8 +9,10 @@
 2. Signatures. ``BANDS * ROWS`` samples per document; two documents agree in a sample with probability equal to their
    weighted Jaccard similarity. Exact copies are one node from here on.
 3. Candidates. Documents that agree in all samples of a band share a bucket. First every member is compared with the
-   smallest of its bucket (as many pairs as members); then only pairs of one bucket that are still in different groups.
-   A group of copies is thus never paired out, and no link between two groups is lost.
+   smallest of its bucket (as many pairs as members), then with a few members of the bucket's largest group, and at last
+   those still in different groups with each other by an exact prefix filter: only pairs that share one of their rarest
+   shingles. Neither a group of copies nor the users of a common passage are paired out, and no link between
+   two groups is lost.
 4. Verification by the exact weighted Jaccard similarity of the whole texts, then connected components.
 
 Recall of a pair at similarity s is ``1 - (1 - s**ROWS)**BANDS``: 0.998 at 0.8, 0.9999 at 0.86.
@@ -34,6 +36,8 @@ from .components import components
 from .textkit import mix64, seeds, text_slices, weighted_shingles
 
 ROWS, BANDS, THRESHOLD = 4, 12, 0.8
+#: Members of a bucket's largest group that the others are compared with in a turn, and turns before all pairs across groups are.
+PROBES, TURNS = 4, 2
 #: Share of documents above which a shingle has a weight of its own; cells of each of the sketch's two rows.
 COMMON, CELLS, CHUNK = 0.01, 1 << 18, 1 << 13
 #: Text bytes sampled at once, so that the arrays of a step stay in cache.
@@ -64,11 +68,8 @@ def _cells(h: np.ndarray) -> list[np.ndarray]:
         return [(mix64(h ^ s) & np.uint64(CELLS - 1)).astype(np.int64) for s in _CELL_SEEDS]
 
 
-def common_shingles(docs: DataFrame, text: str, n_docs: int) -> dict[int, int]:
-    """Document frequency of every shingle in more than ``COMMON * n_docs`` documents (bounded, see above)."""
-    spark = docs.sparkSession
-    least = COMMON * n_docs
-    texts = docs.select(F.col(text).alias("_text"))
+def sketched(texts: DataFrame) -> np.ndarray:
+    """Count-min sketch (two rows of cells) of how many rows of ``texts (_text)`` hold a shingle; its size is fixed."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, CELLS), np.int64)
@@ -93,7 +94,14 @@ def common_shingles(docs: DataFrame, text: str, n_docs: int) -> dict[int, int]:
     cells = np.zeros((2 * CELLS // CHUNK, CHUNK), np.int64)
     for row in parts.collect():  # 2 * CELLS numbers
         cells[row.chunk] += np.frombuffer(row.cells, np.int64)
-    sent = spark.sparkContext.broadcast((cells.reshape(2, CELLS) > least))
+    return cells.reshape(2, CELLS)
+
+
+def common_shingles(docs: DataFrame, text: str, n_docs: int) -> dict[int, int]:
+    """Document frequency of every shingle in more than ``COMMON * n_docs`` documents (bounded, see above)."""
+    least = COMMON * n_docs
+    texts = docs.select(F.col(text).alias("_text"))
+    sent = docs.sparkSession.sparkContext.broadcast(sketched(texts) > least)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = sent.value
@@ -203,7 +211,69 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("_text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("_text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    # texts meet by shuffle at every size: what is small in one corpus is not in the next
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _with_largest(placed: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: members of a bucket outside its largest group, each with ``PROBES`` of that group (others each turn)."""
+    probes = [F.min_by("doc", F.xxhash64("doc", F.lit(turn * PROBES + k))).alias(f"p{k}") for k in range(PROBES)]
+    sizes = placed.groupBy("bucket", "g").agg(F.count(F.lit(1)).alias("n"), *probes)
+    largest = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.max_by(F.struct("g", F.array(*[f"p{k}" for k in range(PROBES)]).alias("p")), F.struct("n", -F.col("g"))).alias("c"))
+    largest = cut_lineage(largest.filter("groups > 1").select("bucket", F.col("c.g").alias("g0"), F.array_distinct("c.p").alias("p")))
+    pairs = placed.join(largest, "bucket").filter("g <> g0").select("doc", F.explode("p").alias("p"))
+    return pairs.select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct()
+
+
+def prefixes(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, rarity: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which shingles are in their document's prefix: the rarest ones, until less than ``threshold`` of the weight is left.
+
+    Two documents of that similarity share at least this much of either's weight, so the rarest shingle they share is in
+    both prefixes, whatever the (common) order is. Also the weight from each shingle on, and the document's.
+    """
+    order = np.lexsort((h, rarity, doc))
+    first = np.flatnonzero(np.diff(doc[order], prepend=-1))
+    total = np.add.reduceat(weight[order], first)
+    lengths = np.diff(np.append(first, len(order)))
+    before = np.cumsum(weight[order]) - weight[order]
+    before -= np.repeat(before[first], lengths)
+    total = np.repeat(total, lengths)
+    rest, whole = np.zeros(len(h)), np.zeros(len(h))
+    rest[order], whole[order] = total - before, total
+    return rest >= threshold * whole * (1 - 1e-9), rest, whole
+
+
+def _across(placed: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """``a, b``: documents of buckets with several groups, in different groups, that share a shingle of their prefixes.
+
+    Exact: no pair at the threshold is left out. Passages that many documents share are last in the order (by a
+    sketch of the document frequencies), so documents alike in nothing else do not meet.
+    """
+    mixed = placed.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 < g1").select("bucket")
+    docs = cut_lineage(placed.join(cut_lineage(mixed), "bucket", "left_semi").select(F.col("doc").alias("doc_id"), "g").distinct())
+    rows = cut_lineage(texts.join(docs.hint("merge"), "doc_id"))
+    sent = placed.sparkSession.sparkContext.broadcast((weights, sketched(rows.select("_text"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh, cells = sent.value
+        for batch in batches:
+            for part in text_slices(batch, "_text"):
+                h, doc, tf = weighted_shingles(part.column("_text"))
+                if len(h):
+                    a, b = _cells(h)
+                    at, rest, whole = prefixes(h, doc, weigh(h, tf), np.minimum(cells[0, a], cells[1, b]), threshold)
+                    who = pa.array(doc[at])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("g").take(who), pa.array(h[at].view(np.int64)), pa.array(rest[at]), pa.array(whole[at])],
+                                                     names=["doc", "g", "token", "rest", "whole"])
+
+    tokens = rows.mapInArrow(run, "doc bigint, g bigint, token bigint, rest double, whole double")
+    shared = tokens.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 < g1").select("token")
+    left = cut_lineage(tokens.join(shared, "token", "left_semi"))
+    right = left.select("token", F.col("doc").alias("doc2"), F.col("g").alias("g2"), F.col("rest").alias("rest2"), F.col("whole").alias("whole2"))
+    # from the rarest shared shingle on, both must hold what two documents of that similarity share
+    enough = F.least("rest", "rest2") * (1 + threshold) >= threshold * (1 - 1e-9) * (F.col("whole") + F.col("whole2"))
+    return left.join(right, "token").filter((F.col("g") < F.col("g2")) & enough).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -218,20 +288,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = cut_lineage(members.join(cut_lineage(centres), "bucket"))
 
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    texts = cut_lineage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).join(wanted, "doc_id", "left_semi"))
+    texts = cut_lineage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).join(wanted.hint("merge"), "doc_id", "left_semi"))
     tried = cut_lineage(members.filter("a < doc").select("a", F.col("doc").alias("b")).distinct())
     links = cut_lineage(verified(tried, texts, weights, threshold))
 
     groups = components(links)
-    placed = members.join(groups, members.doc == groups.node, "left").select("bucket", "doc", F.coalesce("component", "doc").alias("g"))
-    placed = cut_lineage(placed)
-    mixed = placed.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 < g1").select("bucket")
-    left = placed.join(cut_lineage(mixed), "bucket", "left_semi")
-    right = left.select("bucket", F.col("doc").alias("doc2"), F.col("g").alias("g2"))
-    rest = left.join(right, "bucket").filter("g < g2").select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
-    rest = cut_lineage(rest.join(tried, ["a", "b"], "left_anti"))
-    more = verified(rest, texts, weights, threshold)
-    groups = components(cut_lineage(links.unionByName(more)))
+    for turn in range(TURNS + 1):
+        placed = members.join(groups, members.doc == groups.node, "left").select("bucket", "doc", F.coalesce("component", "doc").alias("g"))
+        placed = cut_lineage(placed)
+        pairs = _with_largest(placed, turn) if turn < TURNS else _across(placed, texts, weights, threshold)
+        pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
+        links = cut_lineage(links.unionByName(verified(pairs, texts, weights, threshold)))
+        tried = tried.unionByName(pairs)
+        groups = components(links)
 
     found = nodes.withColumnRenamed("node", "rep").join(groups, F.col("rep") == F.col("node"), "left")
     classes = found.select("doc_id", F.coalesce("component", "rep").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
