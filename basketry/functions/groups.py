@@ -32,8 +32,10 @@ def small_side(n: int, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_KEYS else df
 
 
-def pairs_in_groups(df: DataFrame, group: str, item: str, limit: int = BLOCK_ITEMS) -> DataFrame:
-    """Distinct unordered item pairs of each group: ``group, item_a < item_b, group_size``.
+def pairs_in_groups(df: DataFrame, group: str, item: str, limit: int = BLOCK_ITEMS, carry: DataFrame | None = None) -> DataFrame:
+    """Distinct unordered item pairs of each group: ``group, item_a < item_b, group_size``, and the columns of ``carry``.
+
+    ``carry(group, ...)`` has a row per group; it is joined to the groups before they are paired out, never to the pairs.
 
     Ordinary groups take one shuffle: a de-duplicated array per group, from which the pairs are generated row by
     row (streamed by Generate, and combined map-side by the aggregation that follows). A group with more than
@@ -42,20 +44,24 @@ def pairs_in_groups(df: DataFrame, group: str, item: str, limit: int = BLOCK_ITE
     """
     rows = df.select(F.col(group).alias("_g"), F.col(item).alias("_i")).filter(F.col("_g").isNotNull() & F.col("_i").isNotNull())
     n_hot, hot = hot_groups(rows, "_g", limit)
-    cols = [F.col("_g").alias(group), "item_a", "item_b", "group_size"]
+    more = [c for c in carry.columns if c != group] if carry is not None else []
+    cols = [F.col("_g").alias(group), "item_a", "item_b", "group_size", *more]
+
+    def carrying(groups: DataFrame) -> DataFrame:
+        return groups.join(carry.withColumnRenamed(group, "_g"), "_g", "left") if more else groups
 
     small = rows.join(small_side(n_hot, hot.select("_g")), "_g", "left_anti") if n_hot else rows
     arrays = small.groupBy("_g").agg(F.sort_array(F.collect_set("_i")).alias("_items")).filter(F.size("_items") > 1)
     pairs = (
-        arrays.select("_g", "_items", F.size("_items").cast("long").alias("group_size"), F.posexplode("_items").alias("_p", "item_a"))
-        .select("_g", "item_a", "group_size", F.explode(F.slice("_items", F.col("_p") + 2, F.size("_items"))).alias("item_b"))
+        carrying(arrays).select("_g", *more, "_items", F.size("_items").cast("long").alias("group_size"), F.posexplode("_items").alias("_p", "item_a"))
+        .select("_g", *more, "item_a", "group_size", F.explode(F.slice("_items", F.col("_p") + 2, F.size("_items"))).alias("item_b"))
         .select(*cols)
     )
     if n_hot == 0:
         return pairs
 
     big = rows.join(small_side(n_hot, hot), "_g").distinct()
-    sizes = big.groupBy("_g").agg(F.count(F.lit(1)).alias("group_size"))
+    sizes = carrying(big.groupBy("_g").agg(F.count(F.lit(1)).alias("group_size")))
     big = big.withColumn("_n", F.ceil(F.col("_rows") / limit).cast("int")).withColumn("_b", F.pmod(F.hash("_i"), F.col("_n")))
     blocks = big.groupBy("_g", "_n", "_b").agg(F.collect_set("_i").alias("_items"))
     tagged = blocks.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
@@ -64,9 +70,9 @@ def pairs_in_groups(df: DataFrame, group: str, item: str, limit: int = BLOCK_ITE
     big_pairs = (
         left.join(right, ["_g", "_x", "_y"])
         .join(small_side(n_hot, sizes), "_g")
-        .select("_g", "_x", "_y", "_r", "group_size", F.explode("_l").alias("_u"))
-        .select("_g", "_x", "_y", "_u", "group_size", F.explode("_r").alias("_v"))
+        .select("_g", *more, "_x", "_y", "_r", "group_size", F.explode("_l").alias("_u"))
+        .select("_g", *more, "_x", "_y", "_u", "group_size", F.explode("_r").alias("_v"))
         .filter((F.col("_x") != F.col("_y")) | (F.col("_u") < F.col("_v")))
-        .select("_g", F.least("_u", "_v").alias("item_a"), F.greatest("_u", "_v").alias("item_b"), "group_size")
+        .select("_g", F.least("_u", "_v").alias("item_a"), F.greatest("_u", "_v").alias("item_b"), "group_size", *more)
     )
     return pairs.unionByName(big_pairs.select(*cols))

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+#: Tables written by this process, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -31,5 +34,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     plan, which joins multiply; over the rounds of an iteration that estimate grows without bound.)
     """
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that ``cut_lineage`` has written for this application; call it when their results are consumed."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        store, folder = fs.FileSystem.from_uri(path)
+        if store.get_file_info(folder).type == fs.FileType.Directory:
+            store.delete_dir(folder)
+    return len(paths)

@@ -1,64 +1,36 @@
-"""Exact ranks inside groups of any size."""
+"""Exact ranks inside groups of any size and of any sortable type."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .groups import small_side
 from .lineage import cut_lineage
 
-#: A group is ranked by one window up to this many rows; a larger one is cut into value ranges first.
-RANK_ROWS = 1_000_000
 
-
-def _numeric(df: DataFrame, column: str) -> tuple[Column, bool]:
-    """Number that follows the order of the column (first six UTF-8 bytes of a string), and whether it is exact."""
-    if dict(df.dtypes)[column] != "string":
-        return F.col(column).cast("double"), True
-    prefix = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(prefix, 16, 10).cast("double"), False
-
-
-def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, rank_col: str = "rank", limit: int = RANK_ROWS) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, rank_col: str = "rank") -> DataFrame:
     """Add the 0-based position of each row of its group in (value, tie) order, and the group size ``<rank>_n``.
 
-    Groups above ``limit`` rows are split at approximate quantiles of the value (mergeable sketches). The split
-    points are stored, so a recomputed task sees the same ranges; every range is sorted by its own task and the
-    rows of the ranges before it are added. A range of one repeated value is further cut by the tie column.
+    The table is range-partitioned by (keys, value, tie), which cuts a large group into as many ranges as its size needs,
+    strings by their whole value; rows that tie in all of these are told apart by a hash of the row. The sorted
+    table is stored, so that a recomputed task sees the same ranges. Each range of a group is numbered by itself, and the
+    rows of the group's ranges before it - one number per range - are added.
     """
     keys = list(keys)
-    points = [i / 64 for i in range(1, 64)]
-    v, exact = _numeric(df, value)
-    t, _ = _numeric(df, tie)
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(v, points, 1000).alias("_q"))
-    big = cut_lineage(stats.filter(F.col("_n") > limit).select(*keys, F.array_distinct("_q").alias("_q")))
-    n_big = big.count()
-    if not n_big:
-        rows = Window.partitionBy(*keys)
-        position = F.row_number().over(rows.orderBy(F.asc(value), F.asc(tie)))
-        return df.withColumn(rank_col, (position - 1).cast("long")).withColumn(rank_col + "_n", F.count(F.lit(1)).over(rows))
-
-    tagged = df.join(small_side(n_big, big), keys, "left").withColumn("_v", v)
-    # odd ranges hold one split value, even ranges the values strictly between two split values
-    tagged = tagged.withColumn("_range", F.when(F.col("_q").isNull(), 0).otherwise(
-        2 * F.size(F.filter("_q", lambda q: q < F.col("_v"))) + F.array_contains("_q", F.col("_v")).cast("int"))).drop("_q", "_v")
-    tagged = tagged.withColumn("_sub", F.lit(0))
-    if exact:
-        repeats = tagged.filter(F.col("_range") % 2 == 1).groupBy(*keys, "_range").agg(
-            F.count(F.lit(1)).alias("_rn"), F.percentile_approx(t, points, 1000).alias("_tq"))
-        repeats = cut_lineage(repeats.filter(F.col("_rn") > limit).select(*keys, "_range", F.array_distinct("_tq").alias("_tq")))
-        cut = tagged.join(small_side(repeats.count(), repeats), [*keys, "_range"], "left").withColumn("_t", t)
-        tagged = cut.withColumn("_sub", F.when(F.col("_tq").isNull(), 0).otherwise(
-            F.size(F.filter("_tq", lambda q: q < F.col("_t"))))).drop("_tq", "_t")
-    part = [*keys, "_range", "_sub"]
-    position = F.row_number().over(Window.partitionBy(*part).orderBy(F.asc(value), F.asc(tie)))
-    out = tagged.withColumn(rank_col, (position - 1).cast("long"))
-    sizes = tagged.groupBy(*part).agg(F.count(F.lit(1)).alias("_c"))  # at most 127 ranges x 64 cuts per group
-    offsets = sizes.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range", "_sub")) - F.col("_c"))
-    offsets = offsets.withColumn(rank_col + "_n", F.sum("_c").over(Window.partitionBy(*keys))).drop("_c")
-    return out.join(offsets, part).withColumn(rank_col, F.col(rank_col) + F.col("_before")).drop("_range", "_sub", "_before")
+    order = [*keys, value, tie]
+    sorted_ = df.withColumn("_h", F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")])).repartitionByRange(*order, "_h")
+    placed = cut_lineage(sorted_.withColumn("_range", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(F.asc(value), F.asc(tie), "_h"))
+    sizes = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    by = Window.partitionBy(*keys)
+    before = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"),
+                          (F.sum("_c").over(by.orderBy("_range")) - F.col("_c")).alias("_before"), F.sum("_c").over(by).alias(rank_col + "_n"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = placed.withColumn("_i", inside).join(before, same).withColumn(rank_col, (F.col("_i") - 1 + F.col("_before")).cast("long"))
+    return out.select(*df.columns, rank_col, rank_col + "_n")
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, tie: str, alias: str = "median") -> DataFrame:

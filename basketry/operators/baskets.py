@@ -10,7 +10,7 @@ import math
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.groups import pairs_in_groups
+from ..functions.groups import pairs_in_groups, small_side
 from ..functions.lineage import cut_lineage
 from ..functions.scalars import safe_div
 from .rows import top_k_per_group
@@ -21,13 +21,13 @@ def co_occurrence(basket_items: DataFrame, basket_weights: DataFrame | None = No
 
     With ``basket_weights(basket_id, <weight>)`` the weight column is that sum, otherwise it equals the count.
     """
-    pairs = pairs_in_groups(basket_items, "basket_id", "item")
     if basket_weights is None:
+        pairs = pairs_in_groups(basket_items, "basket_id", "item")
         out = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("count"))
         out = out.withColumn("weight", F.col("count").cast("double"))
     else:
         w = basket_weights.select("basket_id", F.col(weight).alias("_w"))
-        out = pairs.join(w, "basket_id", "left").groupBy("item_a", "item_b").agg(
+        out = pairs_in_groups(basket_items, "basket_id", "item", carry=w).groupBy("item_a", "item_b").agg(
             F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("_w"), F.lit(0.0)).alias("weight"))
     return out.filter(F.col("count") >= min_count) if min_count > 1 else out
 
@@ -51,7 +51,7 @@ def frequent_baskets(basket_items: DataFrame, min_support: float) -> tuple[DataF
     items = cut_lineage(basket_items.select("basket_id", "item").filter(F.col("item").isNotNull()).distinct())
     n = basket_total(items)
     counts = cut_lineage(items.groupBy("item").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= _min_count(min_support, n)))
-    kept = items.join(F.broadcast(counts.select("item")), "item", "left_semi")
+    kept = items.join(small_side(counts.count(), counts.select("item")), "item", "left_semi")
     baskets = kept.groupBy("basket_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
     merged = baskets.groupBy("items").agg(F.count(F.lit(1)).alias("multiplicity"))
     return counts, cut_lineage(merged), n

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.lineage import cut_lineage
 from .graph import modularity, symmetric
 
-#: A single move must raise modularity by more than this.
+#: A move, and a round of moves, must raise modularity by more than this (rounding error).
 EPSILON = 1e-12
-#: A whole round must raise modularity by more than this for another one to follow.
-ROUND_GAIN = 1e-5
 
 
 def _node_weights(sym: DataFrame, loops: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def _move_round(sym: DataFrame, nodes: DataFrame, part: DataFrame, m2: float, re
     return best.select("node", F.when(go, to["_c"]).otherwise(F.col("community")).alias("community"), go.alias("moved"))
 
 
-def _refine(edges: DataFrame, part: DataFrame, resolution: float, max_rounds: int) -> tuple[DataFrame, float]:
+def _refine(edges: DataFrame, part: DataFrame, resolution: float) -> tuple[DataFrame, float]:
     """Local moves from a partition until modularity stops rising; returns the best partition and its modularity.
 
     ``edges`` may hold self-loops. A round is two half-rounds over a split of the nodes by hash. Driver traffic is two numbers
@@ -63,7 +63,7 @@ def _refine(edges: DataFrame, part: DataFrame, resolution: float, max_rounds: in
     best = current = part
     if m2 == 0:
         return best, best_q
-    for number in range(max_rounds):
+    for number in count():
         moves = 0
         half = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2))
         for parity in (0, 1):
@@ -76,10 +76,9 @@ def _refine(edges: DataFrame, part: DataFrame, resolution: float, max_rounds: in
             break
         q = modularity(edges, current, resolution).first()[0]
         gain = q - best_q
-        if gain > EPSILON:
-            best, best_q = current, q
-        if gain <= ROUND_GAIN:
+        if gain <= EPSILON:
             break
+        best, best_q = current, q
     return best, best_q
 
 
@@ -88,7 +87,7 @@ def _singletons(edges: DataFrame) -> DataFrame:
     return nodes.select("node", F.col("node").alias("community"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, max_rounds: int = 10, max_levels: int = 5, init: DataFrame | None = None) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, init: DataFrame | None = None) -> DataFrame:
     """Communities of a weighted undirected graph ``edges(src, dst, weight)``: ``node, community``.
 
     Rounds of local moves, then the communities become nodes and the moves are repeated on the smaller graph until
@@ -99,8 +98,8 @@ def louvain(edges: DataFrame, resolution: float = 1.0, max_rounds: int = 10, max
     part = _singletons(base) if init is None else init.select("node", "community")
     level_edges, level_part = base, cut_lineage(part)
     result, best_q = level_part, modularity(base, level_part, resolution).first()[0]
-    for _ in range(max_levels):
-        level_part, q = _refine(level_edges, level_part, resolution, max_rounds)
+    while True:
+        level_part, q = _refine(level_edges, level_part, resolution)
         mapped = level_part.select(F.col("node").alias("community"), F.col("community").alias("_up"))
         if result is None or level_edges is base:
             candidate = level_part
@@ -126,14 +125,13 @@ def canonical(part: DataFrame) -> DataFrame:
     return part.join(names, "community").select("node", F.col("_name").alias("community"))
 
 
-def refine(edges: DataFrame, partition: DataFrame, resolution: float = 1.0, max_rounds: int = 5) -> DataFrame:
+def refine(edges: DataFrame, partition: DataFrame, resolution: float = 1.0) -> DataFrame:
     """Local moves only, from a given partition (the second half of the partitioned form)."""
     base = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    return canonical(_refine(base, cut_lineage(partition.select("node", "community")), resolution, max_rounds)[0])
+    return canonical(_refine(base, cut_lineage(partition.select("node", "community")), resolution)[0])
 
 
-def louvain_incremental(edges: DataFrame, previous: DataFrame, changed: DataFrame | None = None, resolution: float = 1.0,
-                        max_rounds: int = 3) -> DataFrame:
+def louvain_incremental(edges: DataFrame, previous: DataFrame, changed: DataFrame | None = None, resolution: float = 1.0) -> DataFrame:
     """Continue from ``previous(node, community)`` on a changed graph.
 
     New nodes and the nodes of ``changed(node)`` start on their own; nodes that left the graph are dropped.
@@ -147,4 +145,4 @@ def louvain_incremental(edges: DataFrame, previous: DataFrame, changed: DataFram
     # a node that restarts must not take the id of a community that others still use, hence the prefix
     own = F.concat(F.lit("\u0000"), F.col("node").cast("string"))
     start = start.select("node", F.when(F.col("_x") | F.col("_p").isNull(), own).otherwise(F.col("_p").cast("string")).alias("community"))
-    return refine(edges, start, resolution, max_rounds)
+    return refine(edges, start, resolution)

@@ -1,8 +1,8 @@
 """Grouped dose-response regression with restricted cubic splines.
 
 ``obs(<keys>, dose, response, weight)``. The normal equations are sums (one map-side combined aggregation per fit),
-so a group of any size becomes one row; only that row's system of at most six unknowns is solved in a vectorised
-Arrow function.
+so a group of any size becomes one row; only that row's system, of as many unknowns as there are knots, is solved in a
+vectorised Arrow function.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from ..functions.ranks import ranked, upper_median
 from ..functions.scalars import as_col, once
 from .rows import top_k_per_group
 
-#: Widest design row: intercept, dose and up to four spline terms (six knots).
-P = 6
+
+def _width(nk: int | Sequence[int]) -> int:
+    """Length of the widest design row: intercept, dose and a spline term per knot but two."""
+    return max(2, nk if isinstance(nk, int) else max(nk))
 
 
 # --- design -------------------------------------------------------------------------------------------------
@@ -76,31 +78,31 @@ def _at(i: int) -> Column:
     return F.coalesce(F.try_element_at(F.col("_b"), F.lit(i + 1)), F.lit(0.0))
 
 
-def _sums(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Normal-equation sums of rows that carry the design row ``_b``: weighted and unweighted."""
+def _sums(rows: DataFrame, by: Sequence[str], p: int) -> DataFrame:
+    """Normal-equation sums of rows that carry the design row ``_b`` (up to ``p`` wide): weighted and unweighted."""
     w, y = F.col("weight").cast("double"), F.col("response")
-    cells = [(i, j) for i in range(P) for j in range(i, P)]
+    cells = [(i, j) for i in range(p) for j in range(i, p)]
     agg = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.min("dose").alias("x_min"), F.max("dose").alias("x_max"),
         F.max(F.size("_b")).alias("p"),
-        *[F.sum(w * _at(i) * _at(j)).alias(f"_w{i}{j}") for i, j in cells], *[F.sum(w * _at(i) * y).alias(f"_wy{i}") for i in range(P)],
-        *[F.sum(_at(i) * _at(j)).alias(f"_u{i}{j}") for i, j in cells], *[F.sum(_at(i) * y).alias(f"_uy{i}") for i in range(P)])
+        *[F.sum(w * _at(i) * _at(j)).alias(f"_w{i}{j}") for i, j in cells], *[F.sum(w * _at(i) * y).alias(f"_wy{i}") for i in range(p)],
+        *[F.sum(_at(i) * _at(j)).alias(f"_u{i}{j}") for i, j in cells], *[F.sum(_at(i) * y).alias(f"_uy{i}") for i in range(p)])
 
     def square(kind: str) -> Column:
-        return F.array(*[F.col(f"_{kind}{min(i, j)}{max(i, j)}") for i in range(P) for j in range(P)])
+        return F.array(*[F.col(f"_{kind}{min(i, j)}{max(i, j)}") for i in range(p) for j in range(p)])
 
-    return agg.select(*by, "n", "sy", "syy", "x_min", "x_max", "p", square("w").alias("xtwx"), F.array(*[F.col(f"_wy{i}") for i in range(P)]).alias("xtwy"),
-                      square("u").alias("xtx"), F.array(*[F.col(f"_uy{i}") for i in range(P)]).alias("xty"))
+    return agg.select(*by, "n", "sy", "syy", "x_min", "x_max", "p", square("w").alias("xtwx"), F.array(*[F.col(f"_wy{i}") for i in range(p)]).alias("xtwy"),
+                      square("u").alias("xtx"), F.array(*[F.col(f"_uy{i}") for i in range(p)]).alias("xty"))
 
 
 @F.pandas_udf(T.StructType([T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("rank", T.IntegerType())]))
 def _solve(a: pd.Series, b: pd.Series, p: pd.Series) -> pd.DataFrame:
-    """Minimum-norm solution of small symmetric systems (p x p corner of a 6 x 6 array), a batch at a time."""
+    """Minimum-norm solution of small symmetric systems (p x p corner of each array), a batch at a time."""
     coef, rank = [None] * len(a), [0] * len(a)
     if len(a):
         sizes = p.to_numpy()
-        mats = np.stack(a.to_numpy()).reshape(-1, P, P)
         rhs = np.stack(b.to_numpy())
+        mats = np.stack(a.to_numpy()).reshape(-1, rhs.shape[1], rhs.shape[1])
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
             m, r = mats[at][:, :size, :size], rhs[at][:, :size]
@@ -126,11 +128,12 @@ def fit_rcs(obs: DataFrame, keys: Sequence[str], nk: int | Sequence[int] = 4, pr
     k = place_knots(obs, keys, nk) if knots is None else knots
     by = [*keys, "nk"] if "nk" in k.columns else keys
     k = cut_lineage(k)
+    width = _width(nk) if knots is None else max(2, k.agg(F.max(F.size("knots"))).first()[0] or 0)
     designed = obs.join(k, keys).withColumn("_b", rcs_basis("dose", "knots"))
-    s = _sums(designed, by)
+    s = _sums(designed, by, width)
     mean = F.col("sy") / F.col("n")
     if prior_precision:
-        a = F.transform("xtwx", lambda v, i: F.when(i % (P + 1) == 0, v + prior_precision).otherwise(v))
+        a = F.transform("xtwx", lambda v, i: F.when(i % (width + 1) == 0, v + prior_precision).otherwise(v))
         b = F.transform("xtwy", lambda v, i: v + prior_precision * F.when(i == 0, mean).otherwise(F.lit(float(prior_mean))))
         s = s.withColumn("xtwx", a).withColumn("xtwy", b)
     fitted = cut_lineage(s.withColumn("_f", _solve("xtwx", "xtwy", "p")).join(k, by))
@@ -140,7 +143,7 @@ def fit_rcs(obs: DataFrame, keys: Sequence[str], nk: int | Sequence[int] = 4, pr
     ss_tot = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     out = fitted.join(res, by)
     std = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.sqrt(
-        F.col("ss_res") / F.greatest(F.col("n") - F.col("p"), F.lit(1)) / F.greatest(F.get("xtwx", i * (P + 1)), F.lit(1e-10))))
+        F.col("ss_res") / F.greatest(F.col("n") - F.col("p"), F.lit(1)) / F.greatest(F.get("xtwx", i * (width + 1)), F.lit(1e-10))))
     return out.select(
         *by, "knots", coef.alias("coef"), F.col("p").alias("n_params"), F.col("_f.rank").alias("rank"), "n", "x_min", "x_max",
         F.when(ss_tot > 1e-12 * F.col("syy"), 1.0 - F.col("ss_res") / ss_tot).otherwise(0.0).alias("r_squared"), std.alias("coef_std"))
@@ -193,7 +196,7 @@ def rcs_loo(obs: DataFrame, keys: Sequence[str], obs_id: str, nk: int = 4) -> Da
     the sums are computed once per group and knot position, and every point is subtracted from its own: the work is
     rows x (nk + 2), not rows x rows.
     """
-    keys = list(keys)
+    keys, width = list(keys), _width(nk)
     r = cut_lineage(_distinct_ranks(obs, keys))
     lit_nk = F.lit(nk)
     # values a knot can take after one dose is dropped: at its position or the next
@@ -204,14 +207,14 @@ def rcs_loo(obs: DataFrame, keys: Sequence[str], obs_id: str, nk: int = 4) -> Da
     less = F.transform(_positions(lit_nk, F.col("r_n") - 1), lambda q: F.try_element_at(F.col("_v"), F.when(q < F.col("r"), q).otherwise(q + 1)))
     placed = r.join(values, keys).select(*keys, "dose", F.array_distinct(F.when((F.col("c") > 1) | (F.col("r_n") < 2), full).otherwise(less)).alias("knots"))
     variants = cut_lineage(placed.select(*keys, "knots").distinct())
-    sums = cut_lineage(_sums(obs.join(variants, keys).withColumn("_b", rcs_basis("dose", "knots")), [*keys, "knots"]))
+    sums = cut_lineage(_sums(obs.join(variants, keys).withColumn("_b", rcs_basis("dose", "knots")), [*keys, "knots"], width))
     own = obs.join(placed, [*keys, "dose"]).join(sums.filter(F.col("n") >= 3), [*keys, "knots"]).withColumn("_b", F.concat(
-        rcs_basis("dose", "knots"), F.array_repeat(F.lit(0.0), F.greatest(P - F.col("p"), F.lit(0)))))
+        rcs_basis("dose", "knots"), F.array_repeat(F.lit(0.0), F.greatest(width - F.col("p"), F.lit(0)))))
     w, y = F.col("weight").cast("double"), F.col("response")
 
     def minus(total: str, factor: Column, square: bool) -> Column:
         if square:
-            return F.transform(total, lambda v, i: v - factor * F.get("_b", F.floor(i / P).cast("int")) * F.get("_b", i % P))
+            return F.transform(total, lambda v, i: v - factor * F.get("_b", F.floor(i / width).cast("int")) * F.get("_b", i % width))
         return F.transform(total, lambda v, i: v - factor * y * F.get("_b", i))
 
     left = own.select(*keys, obs_id, "dose", "response", "p", (F.col("n") - 1).alias("n"), (F.col("sy") - y).alias("sy"), (F.col("syy") - y * y).alias("syy"), "_b",
@@ -219,7 +222,7 @@ def rcs_loo(obs: DataFrame, keys: Sequence[str], obs_id: str, nk: int = 4) -> Da
     sol = left.withColumn("_c", _solve("a", "b", "p")["coef"])
     pred = _dot(F.slice("_b", 1, F.col("p")), F.col("_c"))
     quad = F.aggregate(F.sequence(F.lit(0), F.col("p") - 1), F.lit(0.0), lambda s, i: s + F.get("_c", i) * (
-        F.aggregate(F.sequence(F.lit(0), F.col("p") - 1), F.lit(0.0), lambda z, j: z + F.get("_c", j) * F.get("u", i * P + j)) - 2.0 * F.get("uy", i)))
+        F.aggregate(F.sequence(F.lit(0), F.col("p") - 1), F.lit(0.0), lambda z, j: z + F.get("_c", j) * F.get("u", i * width + j)) - 2.0 * F.get("uy", i)))
     ss_tot = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     out = sol.withColumn("predicted", pred).withColumn("_ss", F.col("syy") + quad)
     return out.select(

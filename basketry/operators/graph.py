@@ -233,17 +233,14 @@ def community_detail(edges: DataFrame, partition: DataFrame, community, items: D
     return rows, inner
 
 
-def contract_graph(nodes: DataFrame, edges: DataFrame, group_type: str, threshold: int = 150, group_default: str = "other",
+def contract_graph(nodes: DataFrame, edges: DataFrame, group_type: str, group_default: str = "other",
                    trait: str = "nature", trait_default: str = "neutral") -> tuple[DataFrame, DataFrame]:
-    """Merge the nodes of one type into a super-node per category when there are more than ``threshold`` nodes.
+    """Merge the nodes of one type into a super-node per category, whatever the size of the graph.
 
     ``nodes(id, label, type, category, <trait>)``. A super-node has the member count and the most frequent trait
     (first by name among equals); member ids stay a table: ``nodes.member_of`` of :func:`contraction_map`. Edges are re-pointed,
     self-loops dropped and parallel edges summed.
     """
-    if nodes.count() <= threshold:
-        kept = nodes.select("id", "label", "type", F.lit(1).cast("long").alias("count"), F.col(trait).alias("trait"))
-        return kept, edges.select("source", "target", "type", "weight")
     mapped = contraction_map(nodes, group_type, group_default)
     of_type = nodes.filter(F.col("type") == group_type)
     cat = F.coalesce("category", F.lit(group_default))

@@ -263,11 +263,11 @@ def assess_risk(basket_items: DataFrame, toxic: DataFrame, pairs: DataFrame, fam
         (F.col("_score") * 100).alias("risk_score"), level.alias("risk_level"))
 
 
-def warnings(assessed: DataFrame, found: DataFrame, over: DataFrame, pregnant: DataFrame) -> DataFrame:
+def warnings(assessed: DataFrame, found: DataFrame, over: DataFrame, pregnant: DataFrame, words: RiskWords = RiskWords()) -> DataFrame:
     """Warnings as rows ``basket_id, kind, text``: overdoses, severe known pairs, inferred risks, pregnancy."""
     doses = over.select("basket_id", F.lit("overdose").alias("kind"), F.format_string(
         "%s: dose %.1f g is above the safe %.1f g (by %.1f%%)", "item", F.col("dose").cast("double"), F.col("max_dose").cast("double"), "percent_over").alias("text"))
-    severe = found.filter(~F.col("inferred") & F.col("risk_level").isin("high", "extreme")).select(
+    severe = found.filter(~F.col("inferred") & F.col("risk_level").isin(words.high, words.extreme)).select(
         "basket_id", F.lit("pair").alias("kind"), F.format_string("%s: %s with %s (%s)", "interaction_type", "item_a", "item_b", "risk_level").alias("text"))
     inferred = assessed.filter(F.col("n_inferred") > 0).select(
         "basket_id", F.lit("inferred").alias("kind"), F.format_string("%d inferred risks need verification", F.col("n_inferred")).alias("text"))
@@ -276,9 +276,9 @@ def warnings(assessed: DataFrame, found: DataFrame, over: DataFrame, pregnant: D
     return doses.unionByName(severe).unionByName(inferred).unionByName(preg)
 
 
-def guidance(assessed: DataFrame, pregnant: DataFrame, texts: dict[str, str]) -> DataFrame:
+def guidance(assessed: DataFrame, pregnant: DataFrame, texts: dict[str, str], words: RiskWords = RiskWords()) -> DataFrame:
     """Guidance list per basket. ``texts`` keys: dose, start_low, not_long, monitor, pregnancy, vulnerable, stop, inferred."""
-    p = pregnant.select("basket_id", (F.col("overall_risk") != "safe").alias("_p"))
+    p = pregnant.select("basket_id", (F.col("overall_risk") != words.safe).alias("_p"))
     rows = assessed.join(p, "basket_id", "left")
     rules = [
         ("dose", F.col("risk_score") > 10), ("start_low", F.col("risk_score") > 10), ("not_long", F.col("n_toxic") > 0), ("monitor", F.col("n_toxic") > 0),
@@ -298,14 +298,15 @@ def risk_edges(found: DataFrame) -> DataFrame:
     return best.select(F.col("item_a").alias("herb_a"), F.col("item_b").alias("herb_b"), "risk_level", "risk_score", "interaction_type")
 
 
-def level_rank(column: str = "risk_level", order: tuple[str, ...] = ("minimal", "low", "medium", "high", "extreme")) -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column))
+def level_rank(words: RiskWords = RiskWords(), column: str = "risk_level") -> Column:
+    """Position of a level among the vocabulary's, the lightest first (0: no such level)."""
+    return F.array_position(F.array(*[F.lit(x) for x in sorted(words.levels, key=words.levels.get)]), F.col(column))
 
 
-def list_risk_pairs(edges: DataFrame, min_level: str = "low", limit: int = 50) -> DataFrame:
-    """Risk pairs at or above a level, highest score first, with the size of the whole listing."""
-    ranks = {x: i + 1 for i, x in enumerate(("minimal", "low", "medium", "high", "extreme"))}
-    kept = edges.filter(level_rank() >= ranks[min_level])
+def list_risk_pairs(edges: DataFrame, min_level: str | None = None, limit: int = 50, words: RiskWords = RiskWords()) -> DataFrame:
+    """Risk pairs at or above a level (the vocabulary's low one when not given), highest score first, with the size of the whole listing."""
+    order = sorted(words.levels, key=words.levels.get)
+    kept = edges.filter(level_rank(words) > order.index(min_level or words.low))
     total = kept.agg(F.count(F.lit(1)).alias("n")).scalar()
     return kept.orderBy(F.desc("risk_score"), "herb_a", "herb_b").limit(limit).withColumn("total", total)
 

@@ -167,7 +167,7 @@ CONTRACT = (*PROPERTY_GRAPH, ("m", "SELECT 'item_' || name AS id, 'group_' || ca
     "LEFT JOIN m a ON a.id = source LEFT JOIN m b ON b.id = target")), body=(
     "SELECT source, target, min(type) AS type, CAST(count(*) AS DOUBLE) AS weight FROM moved WHERE source <> target GROUP BY 1, 2")))
 def contracted_edges(t: Tables) -> DataFrame:
-    return G.contract_graph(_contractible(t), _edges(t), "item", threshold=50)[1]
+    return G.contract_graph(_contractible(t), _edges(t), "item")[1]
 
 
 def _contractible(t: Tables) -> DataFrame:
@@ -181,7 +181,7 @@ def _contractible(t: Tables) -> DataFrame:
     "(SELECT nature FROM nat x WHERE x.category = nat.category ORDER BY n DESC, nature LIMIT 1) AS trait FROM nat GROUP BY category "
     "UNION ALL SELECT id, label, type, 1, NULL FROM nodes WHERE type <> 'item'")))
 def contracted_nodes(t: Tables) -> DataFrame:
-    return G.contract_graph(_contractible(t), _edges(t), "item", threshold=50)[0]
+    return G.contract_graph(_contractible(t), _edges(t), "item")[0]
 
 
 @query("louvain_communities")
@@ -206,10 +206,11 @@ def louvain_refined(t: Tables) -> DataFrame:
 
 @query("louvain_incremental")
 def louvain_incremental(t: Tables) -> DataFrame:
-    """Communities of the stronger edges, carried over to the graph with all edges; nodes new to it start alone."""
+    """Communities of the graph of half the edges, carried over to the whole graph; nodes that gained an edge start alone."""
     edges = Bd.graph_edges(t)
-    mean = edges.agg(F.avg("count")).scalar()
-    return C.louvain_incremental(edges, C.louvain(edges.filter(F.col("count") >= mean), max_levels=2))
+    previous = C.louvain(edges.filter(F.col("count") % 2 == 0))
+    changed = edges.filter(F.col("count") % 2 == 1).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return C.louvain_incremental(edges, previous, changed)
 
 
 # --- link prediction ----------------------------------------------------------------------------------------

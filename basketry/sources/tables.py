@@ -118,14 +118,17 @@ def insert_unique(existing: DataFrame, new: DataFrame, key: str, order: Sequence
     return existing.unionByName(accepted, allowMissingColumns=True), rejected
 
 
-def upsert(existing: DataFrame, changes: DataFrame, key: str, insert: bool = True) -> DataFrame:
-    """Replace the fields that a change sets (non-null) on rows with its key; unknown keys are inserted or ignored."""
-    c = changes.select(F.col(key), *[F.col(x).alias("_new_" + x) for x in changes.columns if x != key])
-    joined = existing.join(c, key, "full_outer" if insert else "left")
-    return joined.select(*[
-        F.coalesce(F.col("_new_" + x), F.col(x)).alias(x) if "_new_" + x in joined.columns else F.col(x)
-        for x in existing.columns
-    ])
+def upsert(existing: DataFrame, changes: DataFrame, key: str, insert: bool = True, order: Sequence[str] = ()) -> DataFrame:
+    """Replace the fields that a change sets (non-null) on rows with its key; unknown keys are inserted or ignored.
+
+    Of several changes with one key the last by ``order`` counts (by all columns when not given, so the result does not hang on
+    the order of rows).
+    """
+    fields = [x for x in changes.columns if x != key]
+    last = F.max_by(F.struct(*fields), F.struct(*(order or fields))) if fields else F.first(F.lit(None))
+    one = changes.groupBy(key).agg(last.alias("_new"))
+    joined = existing.join(one, key, "full_outer" if insert else "left")
+    return joined.select(*[F.coalesce(F.col("_new").getField(x), F.col(x)).alias(x) if x in fields else F.col(x) for x in existing.columns])
 
 
 def delete_by_key(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Structured Streaming jobs: text-mining tasks, basket changes, incremental co-occurrence and communities.
 
-The library transforms streaming DataFrames and starts queries; sources, sinks and triggers are the caller's. State
-is bounded by a one-hour watermark where a job keeps keys.
+The library transforms streaming DataFrames and starts queries; sources, sinks and triggers are the caller's. A task is
+answered however late it comes, so the ids of answered tasks are kept as state (a key each; use the RocksDB state store).
 """
 
 from __future__ import annotations
@@ -15,14 +15,13 @@ from ..operators import communities as C, text as X
 from ..operators.baskets import co_occurrence
 from ..operators.rows import first_per_key
 
-WATERMARK = "1 hour"
 REACTION_TASKS = ("adverse_extract", "batch_adverse")
 SENTIMENT_TASKS = ("efficacy_analyze", "batch_efficacy")
 
 
-def distinct_tasks(tasks: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """Each task id once within the watermark; the delay also bounds how long ids are remembered."""
-    return tasks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["task_id"])
+def distinct_tasks(tasks: DataFrame) -> DataFrame:
+    """Each task id once, however late a task comes: no watermark, as that would drop late tasks unanswered."""
+    return tasks.dropDuplicates(["task_id"])
 
 
 def with_status(tasks: DataFrame) -> DataFrame:
@@ -31,13 +30,13 @@ def with_status(tasks: DataFrame) -> DataFrame:
         "error", F.when(~known, F.concat(F.lit("unknown task type: "), F.coalesce("task_type", F.lit("")))))
 
 
-def stream_text_mining(tasks: DataFrame, lexicon: X.Lexicon, patterns: Sequence[tuple[str, str, str]], delay: str = WATERMARK) -> DataFrame:
+def stream_text_mining(tasks: DataFrame, lexicon: X.Lexicon, patterns: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Results of ``tasks(task_id, task_type, texts, ts)``, one row per text (append mode).
 
     Reaction tasks get the extracted reactions, sentiment tasks the sentiment columns; an unknown type gives one row
     with status ``failed``.
     """
-    rows = with_status(distinct_tasks(tasks, delay))
+    rows = with_status(distinct_tasks(tasks))
     texts = F.when(F.col("status") == "completed", F.col("texts")).otherwise(F.array(F.lit(None).cast("string")))
     rows = rows.select("task_id", "task_type", "ts", "status", "error", F.posexplode_outer(texts).alias("text_index", "text"))
     out = X.analyze_texts(rows, "text", lexicon)

@@ -81,3 +81,10 @@ def test_table_changes(spark, tmp_path):
         S.load_table(spark, str(tmp_path / "t"), fmt="json")
     S.export_graph(table, table, str(tmp_path / "g"))
     assert spark.read.schema("kind string, total long").json(str(tmp_path / "g/totals")).agg(F.sum("total")).first()[0] == 6
+
+
+def test_upsert_takes_the_last_change_of_a_key(spark):
+    old = spark.createDataFrame([(1, "x", 0), (2, "y", 0)], "id int, v string, at int")
+    changes = spark.createDataFrame([(1, "b", 5), (1, "c", 9), (3, "n", 1)], "id int, v string, at int")
+    assert sorted(map(tuple, S.upsert(old, changes, "id", order=["at"]).collect())) == [(1, "c", 9), (2, "y", 0), (3, "n", 1)]
+    assert sorted(map(tuple, S.upsert(old, changes, "id", insert=False).collect())) == [(1, "c", 9), (2, "y", 0)]

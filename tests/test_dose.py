@@ -94,3 +94,14 @@ def test_curve_matches_a_grid_search(spark):
 def test_sensitivity_flags(spark):
     s = {r.g: r for r in D.dose_sensitivity(table(spark, {**GROUPS, **SMALL}), ["g"], "id").collect()}
     assert s["small"].small_sample and not s["linear"].small_sample and s["linear"].robust and s["linear"].knot_stable
+
+
+def test_seven_knots_are_fitted_whole(spark):
+    xs = [float(x) for x in range(1, 25)]
+    ys = [float(np.sin(x / 3) + 0.05 * (x % 4)) for x in xs]
+    df = spark.createDataFrame([("g", x, y, 1.0) for x, y in zip(xs, ys)], "g string, dose double, response double, weight double")
+    r = D.fit_rcs(df, ["g"], 7).collect()[0]
+    _, _, want = fit(xs, ys, [1.0] * len(xs), 7)
+    assert r.n_params == 7 and len(r.coef) == 7
+    ss = 1 - ((np.array(ys) - want) ** 2).sum() / ((np.array(ys) - np.mean(ys)) ** 2).sum()
+    assert abs(r.r_squared - ss) < 1e-6

@@ -92,9 +92,8 @@ def test_louvain_finds_planted_groups_and_incremental_keeps_them(spark):
     assert again == found
 
 
-def test_contraction_below_threshold_is_identity(spark):
+def test_contraction_whatever_the_size(spark):
     nodes = spark.createDataFrame([("item_a", "a", "item", "x", "warm"), ("item_b", "b", "item", "x", None)], "id string, label string, type string, category string, nature string")
     e = spark.createDataFrame([("item_a", "item_b", "co", 2.0)], "source string, target string, type string, weight double")
-    assert G.contract_graph(nodes, e, "item")[1].count() == 1
-    merged, moved = G.contract_graph(nodes, e, "item", threshold=1)
+    merged, moved = G.contract_graph(nodes, e, "item")
     assert moved.count() == 0 and [(r.label, r["count"], r.trait) for r in merged.collect()] == [("x(2)", 2, "neutral")]

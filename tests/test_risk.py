@@ -62,3 +62,20 @@ def test_pregnancy_and_profiles(spark, bi, k):
     assert prof["水银"].inferred_count == 3 and prof["水银"].pregnancy_risk == "禁用" and prof["水银"].confidence == 0.4
     assert prof["附子"].base_known and prof["茯苓"].pregnancy_risk == "未知"
     assert {r.type for r in reactions.filter("item = '附子' and inferred").collect()} == {"神经系统"}
+
+
+def test_warnings_guidance_and_listing_use_the_vocabulary(spark, bi, k):
+    found = R.detect_risk_pairs(bi, k["toxic"], k["pairs"], k["families"], k["reactions"], D.WORDS)
+    assessed = R.assess_risk(bi, k["toxic"], k["pairs"], k["families"], k["reactions"], None, D.WORDS)
+    over = R.overdose(spark.createDataFrame([(10, "附子", 100.0)], "basket_id int, item string, dose double"), k["toxic"])
+    pregnant = R.pregnancy_items(bi, k["toxic"], k["families"], D.WORDS)
+    rows = R.warnings(assessed, found, over, pregnant, D.WORDS).collect()
+    assert {r.basket_id for r in rows if r.kind == "pair"} >= {1, 2} and any(r.kind == "overdose" for r in rows)
+    risk = R.pregnancy_risk(bi, k["toxic"], k["families"], D.WORDS)
+    texts = {"pregnancy": "not in pregnancy"}
+    got = {r.basket_id: r.guidance for r in R.guidance(assessed, risk, texts, D.WORDS).collect()}
+    assert got[5] == [] and got[10] == ["not in pregnancy"]
+    edges = R.risk_edges(found)
+    high = R.list_risk_pairs(edges, "高", words=D.WORDS).collect()
+    assert high and {r.risk_level for r in high} <= {"高", "极高"}
+    assert R.list_risk_pairs(edges, words=D.WORDS).count() >= len(high)

@@ -55,3 +55,13 @@ def test_incremental_communities(spark, tmp_path):
     assert {r.node: r.community for r in parts.collect()} == {n: n[0] + "1" for n in ("a1", "a2", "a3", "b1", "b2", "b3")}
     edges = J.VersionedTable(spark, str(tmp_path / "edges"), J.EDGE_STATE).read()
     assert G.modularity(edges, parts).first()[0] > 0.4
+
+
+def test_late_tasks_are_answered(spark, tmp_path):
+    for name, at in (("a", 100_000), ("b", 200_000), ("late", 5)):
+        spark.createDataFrame([(name, "efficacy_analyze", ["一剂而愈"], at)], "task_id string, task_type string, texts array<string>, s long").withColumn(
+            "ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("task_id string, task_type string, texts array<string>, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = J.stream_text_mining(src, D.CASE_LEXICON, D.REACTION_PATTERNS)
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {r.task_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a", "b", "late"}
