@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +39,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def with_ctes(*parts: tuple[str, str], body: str) -> str:
-    """``WITH a AS (...), b AS (...) body``."""
-    return "WITH " + ", ".join(f"{n} AS ({s})" for n, s in parts) + " " + body
+def with_ctes(*parts: tuple[str, str], body: str, stored: Collection[str] = ()) -> str:
+    """``WITH a AS (...), b AS (...) body``; parts named in ``stored`` are computed once (they are read several times)."""
+    return "WITH " + ", ".join(f"{n} AS {'MATERIALIZED ' if n in stored else ''}({s})" for n, s in parts) + " " + body

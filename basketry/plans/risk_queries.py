@@ -108,7 +108,7 @@ def toxic_overlap_pairs(t: Tables) -> DataFrame:
     return R.toxic_overlap_pairs(Bd.basket_items(t), Knowledge(t).toxic).select("basket_id", "item_a", "item_b", "risk_level", "risk_score")
 
 
-@query("inferred_interactions", with_ctes(*DETECTED, body=" UNION ALL ".join(f"SELECT {COLS} FROM {x}" for x in ("r_same", "r_ana", "r_org"))))
+@query("inferred_interactions", with_ctes(*DETECTED, stored=("bp", "unk", "fam", "pairs", "families", "reactions", "known"), body=" UNION ALL ".join(f"SELECT {COLS} FROM {x}" for x in ("r_same", "r_ana", "r_org"))))
 def inferred_interactions(t: Tables) -> DataFrame:
     k = Knowledge(t)
     return R.infer_interactions(Bd.basket_items(t), k.pairs, k.families, k.reactions).select(*COLS.split(", "))
