@@ -9,8 +9,9 @@
 3. Blocks. A label is cut into blocks of at most ``BLOCK`` nodes (as many as its size needs), and each pair of blocks is
    its own task: a hot label is more tasks, not a longer one. In a task every projection of the block is sorted, the
    window of each query is a range of that order, and collisions are counted per pair by adding ranges.
-   Only pairs that pass the count are verified, by cosine in double precision, and only links leave the task.
-4. Links of nodes to documents: counts of copies are added up, and components are found over the nodes.
+   Only pairs that pass the count are verified, by cosine in double precision. What leaves the task is a row per node: how
+   many vectors it links with here, and the smallest node it is joined to; never the links themselves.
+4. Counts are added up over the tasks, and components are found over the nodes' joins.
 
 Comparing all vectors of a label is quadratic in the label by its contract; what grows with the square here is the tasks'
 arithmetic, never a table.
@@ -66,6 +67,23 @@ def colliding(query: np.ndarray, base: np.ndarray, half: float, least: int) -> t
     return np.nonzero(count >= least)
 
 
+def joined(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray) -> list[np.ndarray]:
+    """Links of a task as one row per node: the node, the smallest node it is joined to here, and vectors linked to it here."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[:len(a)], at[len(a):]
+    degree = np.bincount(u, weights=copies_b, minlength=len(nodes)) + np.bincount(v, weights=copies_a, minlength=len(nodes))
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == root).all():
+            return [nodes, nodes[root], degree.astype(np.int64)]
+        root = new
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector.
 
@@ -94,7 +112,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     columns = ["label", "d", "block", "other", "node", "copies", "v"]
 
     def compared(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
+        out = [[], [], []]
         if a.num_rows and b.num_rows:
             d = key[1].as_py()
             x = a.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
@@ -109,15 +127,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             cosine = np.concatenate([np.einsum("ij,ij->i", x[i[k:k + 65536]], y[j[k:k + 65536]]) for k in range(0, max(len(i), 1), 65536)])
             ok = cosine >= threshold
             i, j = i[ok], j[ok]
-            out = [na[i], nb[j], ca[i], cb[j]]
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b", "copies_a", "copies_b"])
+            out = joined(na[i], nb[j], ca[i], cb[j])
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["node", "root", "n"])
 
     by = ["label", "d", "block", "other"]
-    links = left.select(columns).groupBy(*by).cogroup(right.select(columns).groupBy(*by)).applyInArrow(compared, "a bigint, b bigint, copies_a bigint, copies_b bigint")
+    links = left.select(columns).groupBy(*by).cogroup(right.select(columns).groupBy(*by)).applyInArrow(compared, "node bigint, root bigint, n bigint")
     links = cut_lineage(links)
-    both = links.select(F.col("a").alias("node"), F.col("copies_b").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.col("copies_a").alias("n")))
-    degrees = both.groupBy("node").agg(F.sum("n").alias("n"))
-    groups = components(links.select("a", "b"))
+    degrees = links.groupBy("node").agg(F.sum("n").alias("n"))
+    groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.join(degrees, "node", "left").join(groups, "node", "left").select(
         "key", "node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     linked = keyed.select("vec_id", "key").join(cut_lineage(known), "key").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
