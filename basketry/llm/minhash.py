@@ -37,7 +37,7 @@ from .textkit import mix64, seeds, text_slices, weighted_shingles
 
 ROWS, BANDS, THRESHOLD = 4, 12, 0.8
 #: Members of a bucket's largest group that the others are compared with in a turn, and turns before all pairs across groups are.
-PROBES, TURNS = 4, 2
+PROBES, TURNS = 4, 1
 #: Share of documents above which a shingle has a weight of its own; cells of each of the sketch's two rows.
 COMMON, CELLS, CHUNK = 0.01, 1 << 18, 1 << 13
 #: Text bytes sampled at once, so that the arrays of a step stay in cache.
@@ -298,9 +298,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         placed = cut_lineage(placed)
         pairs = _with_largest(placed, turn) if turn < TURNS else _across(placed, texts, weights, threshold)
         pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
-        links = cut_lineage(links.unionByName(verified(pairs, texts, weights, threshold)))
+        more = cut_lineage(verified(pairs, texts, weights, threshold))
         tried = tried.unionByName(pairs)
-        groups = components(links)
+        if not more.isEmpty():
+            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     found = nodes.withColumnRenamed("node", "rep").join(groups, F.col("rep") == F.col("node"), "left")
     classes = found.select("doc_id", F.coalesce("component", "rep").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
