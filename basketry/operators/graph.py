@@ -36,11 +36,12 @@ def nodes_of(df: DataFrame, node_type: str, name: str = "name", size: str | None
 
 
 def union_nodes(*parts: DataFrame) -> DataFrame:
-    """Union of node tables, one row per id (maps cannot be compared, so the id decides)."""
+    """Union of node tables, one row per id; of rows that differ the first in the order of their JSON text."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("id").agg(*[F.first(c).alias(c) for c in ("label", "type", "size", "properties")])
+    row = F.struct("label", "type", "size", "properties")
+    return out.groupBy("id").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("id", "_row.*")
 
 
 def build_nodes(items: DataFrame, baskets: DataFrame, labels: DataFrame, item_props: Sequence[str] = (),

@@ -57,9 +57,9 @@ def item_profile(items: DataFrame, toxic: DataFrame, dose_fit: DataFrame) -> Dat
 
 
 def evidence_lookup(names: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Which of the asked names have evidence, and for how many labels: ``evidence(name, label)``."""
+    """Which of the asked names have evidence, and for which labels, in order: ``evidence(name, label)``."""
     found = names.select("name").distinct().join(evidence.select("name", "label").distinct(), "name", "left")
-    return found.groupBy("name").agg(F.count("label").alias("n_labels"), F.min("label").alias("first_label")).withColumn(
+    return found.groupBy("name").agg(F.count("label").alias("n_labels"), F.min("label").alias("first_label"), F.sort_array(F.collect_set("label")).alias("labels")).withColumn(
         "has_evidence", F.col("n_labels") > 0)
 
 

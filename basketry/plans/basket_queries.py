@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.lineage import checkpoint_dir
 from ..operators import baskets as B
 from ..sources import tables as S
 from . import bindings as Bd
@@ -51,6 +54,14 @@ def co_occurrence(t: Tables) -> DataFrame:
     return Bd.co_occurrence(t).withColumn("weight", F.round("weight", 2))
 
 
+@query("stored_co_occurrence", with_ctes(Bd.BI, Bd.BASKETS, Bd.CO, body="SELECT item_a, item_b, count, weight FROM co WHERE count >= 3"))
+def stored_co_occurrence(t: Tables) -> DataFrame:
+    """The pairs of three baskets or more, written as a table and read back."""
+    path = f"{checkpoint_dir(t.spark)}/co-occurrence-{uuid.uuid4().hex}"
+    S.write_table(B.co_occurrence(Bd.basket_items(t), Bd.baskets(t), min_count=3).withColumn("weight", F.round("weight", 2)), path)
+    return S.load_table(t.spark, path)
+
+
 @query("item_counts", with_ctes(Bd.BI, body="SELECT item, count(*) AS count FROM bi GROUP BY item"))
 def item_counts(t: Tables) -> DataFrame:
     return B.item_counts(Bd.basket_items(t))

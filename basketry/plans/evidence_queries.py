@@ -237,7 +237,7 @@ def trials_summary(t: Tables) -> DataFrame:
 
 
 @query("evidence_lookup", with_ctes(*ARMS, ("asked", "SELECT DISTINCT o_orderpriority AS name FROM orders UNION SELECT DISTINCT p_type FROM part"), body=(
-    "SELECT asked.name, count(DISTINCT indication) AS n_labels, min(indication) AS first_label, count(DISTINCT indication) > 0 AS has_evidence FROM asked LEFT JOIN arms ON arms.treatment_name = asked.name GROUP BY asked.name")))
+    "SELECT asked.name, count(DISTINCT indication) AS n_labels, min(indication) AS first_label, coalesce(list(DISTINCT indication ORDER BY indication) FILTER (indication IS NOT NULL), []) AS labels, count(DISTINCT indication) > 0 AS has_evidence FROM asked LEFT JOIN arms ON arms.treatment_name = asked.name GROUP BY asked.name")))
 def evidence_lookup(t: Tables) -> DataFrame:
     asked = t.orders.select(F.col("o_orderpriority").alias("name")).union(t.part.select("p_type"))
     return P.evidence_lookup(asked, _arms(t).select(F.col("treatment_name").alias("name"), F.col("indication").alias("label")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
 
-from ..functions.lineage import cut_lineage
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from ..functions.lineage import checkpoint_dir, cut_lineage
 from ..operators import communities as C, graph as G, links as L, rows as R
+from ..sources import tables as S
 from . import bindings as Bd
 from .catalog import Tables, query, with_ctes
 
@@ -47,6 +50,17 @@ def graph_edges(t: Tables) -> DataFrame:
     return _edges(t).select("source", "target", "type")
 
 
+@query("graph_export", with_ctes(*PROPERTY_GRAPH, body=(
+    "SELECT source, target, type, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM links) AS n_edges FROM links")))
+def graph_export(t: Tables) -> DataFrame:
+    """Nodes, edges and totals written as JSON lines; the edges and both totals read back from the files."""
+    path = f"{checkpoint_dir(t.spark)}/graph-{uuid.uuid4().hex}"
+    S.export_graph(_nodes(t), _edges(t), path)
+    totals = S.load_table(t.spark, f"{path}/totals", T.StructType([T.StructField("kind", T.StringType()), T.StructField("total", T.LongType())]), "json")
+    edges = S.load_table(t.spark, f"{path}/edges", T.StructType([T.StructField(c, T.StringType()) for c in ("source", "target", "type")]), "json")
+    return edges.select("*", *[totals.filter(F.col("kind") == k).select("total").scalar().alias(f"n_{k}") for k in ("nodes", "edges")])
+
+
 @query("graph_stats", with_ctes(*PROPERTY_GRAPH, body=(
     "SELECT 'node' AS kind, type, count(*) AS count FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM links GROUP BY type")))
 def graph_stats(t: Tables) -> DataFrame:
@@ -266,6 +280,13 @@ def links_preferential_attachment(t: Tables) -> DataFrame:
     return L.predict_links(Bd.graph_edges(t), "preferential_attachment")
 
 
+@query("links_with_zero_scores", with_ctes(*Bd.GRAPH, TWO_HOP, body=(
+    "SELECT a.node AS item_a, b.node AS item_b, CAST(coalesce(cn, 0) AS DOUBLE) AS score, 'common_neighbors' AS method FROM deg a JOIN deg b ON a.node < b.node "
+    "LEFT JOIN hop ON hop.a = a.node AND hop.b = b.node WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src = a.node AND dst = b.node) ORDER BY score DESC, 1, 2 LIMIT 3000")))
+def links_with_zero_scores(t: Tables) -> DataFrame:
+    return L.predict_links(Bd.graph_edges(t), "common_neighbors", 3000, include_zero=True)
+
+
 @query("links_katz", with_ctes(*Bd.GRAPH, (
     "w2", "SELECT x.u, y.v, count(*) AS n FROM sym x JOIN sym y ON x.v = y.u GROUP BY 1, 2"),
     ("w3", "SELECT w2.u, y.v, sum(n) AS n FROM w2 JOIN sym y ON w2.v = y.u GROUP BY 1, 2"),
