@@ -227,7 +227,7 @@ PENDING = ("pending", "SELECT queue.* FROM queue WHERE NOT EXISTS (SELECT 1 FROM
 
 def _queue(t: Tables) -> DataFrame:
     submitted = F.to_timestamp(F.lit("2024-01-10 00:00:00")) + F.make_dt_interval(F.col("doc_id") % 7)
-    return V.review_candidates(_evaluated(t).withColumn("text", F.lit("")), "doc_id", "text", submitted).drop("text")
+    return V.review_candidates(_evaluated(t), "doc_id", "text", submitted)
 
 
 def _annotations(t: Tables) -> DataFrame:
@@ -235,9 +235,10 @@ def _annotations(t: Tables) -> DataFrame:
         F.col("user_id").alias("case_id"), (F.floor("value") % 5).cast("int").alias("human_grade"), F.col("value").alias("human_score"), "ts")
 
 
-@query("review_candidates", with_ctes(*QUEUE, body="SELECT case_id, auto_grade, auto_score, uncertainty, reason FROM queue"))
+@query("review_candidates", with_ctes(*QUEUE, body=(
+    "SELECT case_id, auto_grade, auto_score, uncertainty, reason, text FROM queue JOIN (SELECT doc_id, text FROM documents) d ON d.doc_id = queue.case_id")))
 def review_candidates(t: Tables) -> DataFrame:
-    return _queue(t).select("case_id", "auto_grade", "auto_score", "uncertainty", "reason")
+    return _queue(t).select("case_id", "auto_grade", "auto_score", "uncertainty", "reason", "text")
 
 
 @query("latest_annotations", with_ctes(ANNOTATIONS, LATEST, body="SELECT case_id, human_grade, human_score FROM latest"))
