@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .textkit import text_slices
 
 #: Cuts that a task remembers before it starts anew.
-MEMORY = 500_000
+MEMORY = 700_000
 #: Pieces up to this many bytes are merged together in one numpy tree.
 TOGETHER = 64
 #: Of a pair that is no token, and of a node below which there is none.
@@ -200,21 +200,38 @@ class Memory(dict):
         super().__init__()
         self._encode, self._limit = encode, limit
 
-    def ids_of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Unsigned 32-bit ids of every text, in order."""
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of every text."""
         cuts = []
         for t in texts:
             plain = t and "\0" not in t and regular(t)
-            cuts.append(t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if plain else None)
-        fresh = set().union(*(c for c in cuts if c))
-        if len(self) + len(fresh) > self._limit and len(self) + len(fresh - self.keys()) > self._limit:
+            cuts.append(t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if plain else [])
+        found = [list(map(self.get, c)) for c in cuts]
+        fresh = {k for c, f in zip(cuts, found) for k, v in zip(c, f) if v is None}
+        if len(self) + 2 * len(fresh) > self._limit:
             self.clear()
-        fresh = [c for c in fresh if c not in self]
-        self.update(zip(fresh, self._encode(fresh)))
-        whole = iter(self._encode([t for t, c in zip(texts, cuts) if c is None and t]))
-        get = self.__getitem__
-        for t, c in zip(texts, cuts):
-            yield np.frombuffer(b"" if not t else next(whole) if c is None else b"".join(map(get, c)), np.uint32)
+            self.update((k, v) for c, f in zip(cuts, found) for k, v in zip(c, f) if v is not None)
+        self._add(fresh)
+        whole = iter(self._encode([t for t, c in zip(texts, cuts) if t and not c]))
+        out = []
+        for t, c, f in zip(texts, cuts, found):
+            ids = b"".join([self[k] if v is None else v for k, v in zip(c, f)]) if c else next(whole) if t else b""
+            out.append(np.frombuffer(ids, np.uint32))
+        return out
+
+    def _add(self, fresh: set[str]) -> None:
+        """Encode cuts; letters followed by closing punctuation are two matches of the pattern, remembered one by one."""
+        pairs, plain = {}, set()
+        for k in fresh:
+            body = k.rstrip(".,;:!?")
+            if len(body) < len(k) and (body.isalpha() or body[:1] == " " and body[1:].isalpha()):
+                pairs[k] = (body, k[len(body):])
+            else:
+                plain.add(k)
+        plain.update(x for two in pairs.values() for x in two)
+        plain = [k for k in plain if k not in self]
+        self.update(zip(plain, self._encode(plain)))
+        self.update((k, self[a] + self[b]) for k, (a, b) in pairs.items())
 
 
 class Encoder:
@@ -242,7 +259,7 @@ class Encoder:
         ids = dict(zip(distinct, self.merger.encode_pieces([p.encode() for p in distinct])))
         return [ids[t] if s is None else b"".join([ids[p] for p in s]) for t, s in zip(texts, split)]
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.memory.ids_of(texts)
 
     def decode(self, ids: list[int]) -> bytes:

@@ -22,8 +22,10 @@ from __future__ import annotations
 import gc
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,13 @@ SEGMENT, BLOCK_IDS = 256, 1 << 20
 BLOCKS = "shard int, block int, doc_ids array<bigint>, lengths array<bigint>, checkpoints binary, bits binary"
 
 
+def _byte_alphabet() -> list[str]:
+    """The visible character that stands for each byte in a byte-level vocabulary: itself, or the next one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
 @lru_cache(maxsize=2)
 def _memory(path: str) -> Memory:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -50,12 +59,26 @@ def _memory(path: str) -> Memory:
     gc.freeze()
     gc.disable()
 
+    # blank and letters are one piece for a byte-level splitter, which the model can take without the machinery around it
+    tokenize, alphabet = tokenizer.model.tokenize, dict(enumerate(_byte_alphabet()))
+
     def encode(texts: list[str]) -> list[bytes]:
+        letters = [t.isalpha() or t[:1] == " " and t[1:].isalpha() for t in texts]
+        rest = iter(encode_whole([t for t, one in zip(texts, letters) if not one]))
+        return [array("I", [x.id for x in tokenize(t.encode().decode("latin-1").translate(alphabet))]).tobytes() if one else next(rest) for t, one in zip(texts, letters)]
+
+    def encode_whole(texts: list[str]) -> list[bytes]:
         out = []
         for a in range(0, len(texts), 2000):
-            out += [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(texts[a:a + 2000], add_special_tokens=False)]
+            ids = [e.ids for e in tokenizer.encode_batch_fast(texts[a:a + 2000], add_special_tokens=False)]
+            data = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
+            ends = list(accumulate(4 * len(x) for x in ids))
+            out += [data[b:e] for b, e in zip([0, *ends], ends)]
         return out
 
+    level = type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and tokenizer.pre_tokenizer.use_regex and not tokenizer.pre_tokenizer.add_prefix_space
+    if not level or tokenizer.normalizer is not None:
+        raise ValueError("a tokenizer with byte-level pieces and no normalizer is needed")
     return Memory(encode)
 
 
@@ -80,7 +103,8 @@ def encode_ids(docs: DataFrame, path: str, end_id: int | None = None, text: str
 
 def pack(ids: np.ndarray) -> bytes:
     planes = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T
-    return zlib.compress(planes[:2].tobytes() + planes[2:].tobytes(), 1)
+    packer = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)  # bytes of ids hardly repeat in sequence
+    return packer.compress(planes.tobytes()) + packer.flush()
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -94,8 +118,8 @@ def count_ids(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch.column("ids").to_pylist():
-                ids = unpack(blob)
+            for part in text_slices(batch, "ids"):
+                ids = np.concatenate([unpack(blob) for blob in part.column("ids").to_pylist()])
                 if len(ids):
                     if (top := int(ids.max())) >= len(total):
                         total = np.append(total, np.zeros(top + 1 - len(total), np.int64))
