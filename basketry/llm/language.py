@@ -109,7 +109,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_do
         raise ValueError(f"more than {LANGUAGES} languages")
     sample = None
     for name in names:
-        one = keyed.filter(F.col("_lang") == name).dropDuplicates(["_h"]).orderBy("_h").limit(sample_docs)
+        of_language = keyed.filter(F.col("_lang") == name)
+        # which hashes are in the sample is settled without the texts, which are then read and sent for the sample alone
+        last = of_language.select("_h").distinct().orderBy("_h").limit(sample_docs).agg(F.max("_h")).first()[0]
+        one = of_language.filter(F.col("_h") <= last).dropDuplicates(["_h"])
         sample = one if sample is None else sample.unionByName(one)
     if sample is None:
         return Model([], np.zeros(slots, np.uint32), np.zeros(0))
@@ -136,12 +139,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_do
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``lang_pred, score, known_share`` of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    source = text if text in keep else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in text_slices(batch, "_text"):
-                texts = part.column("_text")
+            for part in text_slices(batch, source):
+                texts = part.column(source)
                 lang, score, share = m.predict(texts)
                 letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_pylist()
                 lang = [a if ok else UNKNOWN for a, ok in zip(lang, letters)]
@@ -150,7 +154,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                                                  names=[*keep, "lang_pred", "score", "known_share"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known_share", T.DoubleType())])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
