@@ -62,3 +62,42 @@ def test_cuts_resist_shifts():
     assert len(own & set(b[4][b[0] == 0].tolist())) > 0.99 * len(own)
     assert b[4][b[0] == 1].tolist() == a[4].tolist()
     assert (a[2][:-1] == a[1][1:]).all() and a[2][-1] == 20000
+
+
+def repeated_words(texts, n=50):
+    """Per document the words that lie in a run of n that an earlier one holds."""
+    first, out = {}, {}
+    for k, t in enumerate(texts):
+        at = [(m.start(), m.end()) for m in re.finditer(r"\S+", t)]
+        runs = [t[at[i][0]:at[i + n - 1][1]] for i in range(len(at) - n + 1)]
+        mine = {w for i, p in enumerate(runs) if first.get(p, k) < k for w in range(i, i + n)}
+        if mine:
+            out[k] = mine
+        for p in runs:
+            first.setdefault(p, k)
+    return out
+
+
+def reported_words(texts, rows):
+    out = {}
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        assert r.source < r.doc_id and raw[r.start:r.start + r.length] in texts[r.source].encode() and r.n_words >= 50
+        begin = len(raw[:r.start].split())
+        out.setdefault(r.doc_id, set()).update(range(begin, begin + r.n_words))
+    return out
+
+
+def test_periodic_passages(docs):
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randrange(5, 9))) for _ in range(n))
+    texts = []
+    for period in range(1, 6):
+        for _ in range(4):
+            unit = " ".join("".join(rng.choice("andtheo") for _ in range(rng.randrange(1, 5))) for _ in range(period)).split()
+            run = lambda n: " ".join((unit * n)[:n])
+            texts += [say(9) + " " + run(60) + " " + say(9), say(7) + " " + run(83) + " " + say(30), run(50), say(30) + " " + run(49)]
+    texts += ["and " * 30000, "and " * 40000 + "end"]
+    want = repeated_words(texts)
+    assert len(want) >= 40
+    assert reported_words(texts, chunks.repeats(docs(texts)).collect()) == want
