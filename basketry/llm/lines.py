@@ -5,7 +5,8 @@ State (``LineStore``), a folder of versions, each with two Parquet tables:
 * ``references`` (key, doc_id): which document holds which line key, once each. The number of rows of a key is its exact
   reference count, its largest doc_id the document that keeps the line. A key is the 128-bit MD5 of the normalised line.
 * ``filters`` (shard, filter): a cuckoo filter per shard of the keys whose reference count has reached ``min_docs``. The
-  number of shards follows the number of such keys, so one filter has at most ``SHARD_KEYS`` of them.
+  number of shards follows the number of such keys: about ``SHARD_KEYS`` a filter, and when they outgrow twice the room of
+  the shards, all filters are built anew in more of them. A filter that is full is built anew, larger, from its shard's keys.
 
 ``insert`` adds documents and puts the keys that reach the count into their filters; ``delete`` takes documents out and takes
 the keys that fall below it out again (a cuckoo filter, unlike a Bloom filter, can). Both write a new version; whatever
@@ -41,7 +42,7 @@ from .textkit import text_slices
 
 #: Keys per filter, bytes of filters sent to the tasks at once.
 SHARD_KEYS, SENT_BYTES = 1 << 18, 32 << 20
-#: Cuckoo filter: entries per bucket, load at most, moves before a filter is made larger.
+#: Cuckoo filter: entries per bucket, load at most, moves before a filter counts as full.
 ENTRIES, LOAD, MOVES = 4, 0.85, 500
 
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -118,6 +119,9 @@ class CuckooFilter:
             bucket = int(self._other(np.array([bucket]), np.array([print_], np.uint16))[0])
         return False
 
+    def has_room(self, keys: int) -> bool:
+        return np.count_nonzero(self.table) + keys <= LOAD * self.table.size
+
     def delete(self, keys: np.ndarray) -> None:
         """Take out one entry of every key; the keys must have been added."""
         for p, *buckets in zip(*self._places(keys)):
@@ -144,6 +148,9 @@ class CuckooFilter:
             size *= 2
 
 
+_FILTERS = "shard int, filter binary"
+
+
 def _keys_array(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 16)
 
@@ -185,17 +192,20 @@ class LineStore:
         """Write the references, then the filters: those of shards whose keys changed by insertion and deletion."""
         new = f"{self.folder}/{uuid.uuid4().hex}"
         references.write.parquet(f"{new}/references")
-        after = self._repeated(self.spark.read.parquet(f"{new}/references")).select("key")
-        if self.version is None:
-            after = cut_lineage(after)
-            self.shards = max(1, -(-after.count() // SHARD_KEYS))
-            self._sharded(after).groupBy("shard").applyInArrow(_build, "shard int, filter binary").write.parquet(f"{new}/filters")
+        after = cut_lineage(self._repeated(self.spark.read.parquet(f"{new}/references")).select("key"))
+        wanted = max(1, -(-after.count() // SHARD_KEYS))
+        if self.version is None or wanted > 2 * self.shards:
+            self.shards = wanted
+            self._sharded(after).groupBy("shard").applyInArrow(_build, _FILTERS).write.parquet(f"{new}/filters")
         else:
             before = self._repeated(self.references()).select("key")
             added = after.join(before, "key", "left_anti").withColumn("_add", F.lit(True))
             gone = before.join(after, "key", "left_anti").withColumn("_add", F.lit(False))
             old = self.filters()
-            self._sharded(added.unionByName(gone)).groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(_change, "shard int, filter binary").write.parquet(f"{new}/filters")
+            changed = cut_lineage(self._sharded(added.unionByName(gone)).groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(_change, _FILTERS))
+            full = changed.filter("filter is null").select("shard")
+            built = self._sharded(after).join(full, "shard", "left_semi").groupBy("shard").applyInArrow(_build, _FILTERS)
+            changed.filter("filter is not null").unionByName(built).write.parquet(f"{new}/filters")
         self.version = new
 
     def _sharded(self, keys: DataFrame) -> DataFrame:
@@ -256,14 +266,15 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _change(key: tuple, changes: pa.Table, old: pa.Table) -> pa.Table:
+    """The shard's filter with its changes, or null when they do not fit."""
     made = CuckooFilter.from_bytes(old.column("filter")[0].as_py()) if old.num_rows else CuckooFilter.empty(8)
     if changes.num_rows:
         _, rest = shard_and_rest(_keys_array(changes.column("key").combine_chunks()))
         add = np.asarray(changes.column("_add").combine_chunks())
         made.delete(rest[~add])
-        while not made.insert(rest[add]):
-            raise RuntimeError("a cuckoo filter is full; rebuild the store with more shards")
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([made.to_bytes()], pa.binary())})
+        if not made.has_room(add.sum()) or not made.insert(rest[add]):
+            made = None
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([made and made.to_bytes()], pa.binary())})
 
 
 def _probe(sent, shards: int, min_length: int):

@@ -88,3 +88,33 @@ def test_cuckoo_filter():
     assert f.contains(keys[1500:]).all() and f.contains(keys[:1500]).mean() < 0.01
     assert (lines.CuckooFilter.from_bytes(f.to_bytes()).table == f.table).all()
     assert hashlib.md5(b"").digest_size == 16
+
+
+def test_filters_grow_with_the_store(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 20_000)
+    store = lines.LineStore(spark, f"file://{tmp_path}/s")
+    store.insert(docs([]))
+    texts = {}
+    for turn, n in enumerate((30_000, 30_000, 40_000)):
+        new = {}
+        for k in range(0, n, 100):
+            text = "\n".join(f"repeated line number {j} of turn {turn}" for j in range(k, k + 100))
+            new |= {100_000 * turn + k + c: text for c in range(3)}
+        store.insert(frame(docs, new))
+        texts |= new
+        assert result(store, frame(docs, texts)) == brute(texts)
+    assert store.shards > 1
+    gone = [k for k in texts if k % 700 == 0]
+    store.delete(spark.createDataFrame([(k,) for k in gone], "doc_id bigint"))
+    rest = {k: t for k, t in texts.items() if k not in gone}
+    assert result(store, frame(docs, rest)) == brute(rest)
+
+
+def test_full_shard_is_built_anew(spark, docs, tmp_path):
+    store = lines.LineStore(spark, f"file://{tmp_path}/s")
+    texts = {}
+    for turn, n in enumerate((1, 40, 400)):
+        new = {10 * turn + k: "\n".join(f"repeated line number {j} of turn {turn}" for j in range(n)) for k in range(3)}
+        store.insert(frame(docs, new))
+        texts |= new
+    assert store.shards == 1 and result(store, frame(docs, texts)) == brute(texts)
