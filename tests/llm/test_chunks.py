@@ -101,3 +101,16 @@ def test_periodic_passages(docs):
     want = repeated_words(texts)
     assert len(want) >= 40
     assert reported_words(texts, chunks.repeats(docs(texts)).collect()) == want
+
+
+def test_passages_known_in_pieces(docs):
+    rng = random.Random(8)
+    say = lambda n: ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 9))) for _ in range(n)]
+    passage = say(120)
+    edited = [f"edit{k}" if k % 35 == 17 else w for k, w in enumerate(passage)]
+    common = [" ".join(say(20)) for _ in range(6)]
+    orders = [[0, 3, 1, 4, 2, 5], [5, 2, 4, 1, 3, 0], [0, 1, 2, 4, 3, 5], [3, 0, 1, 2, 5, 4]]
+    texts = [" ".join(edited), " ".join(say(9) + passage), " ".join(passage + say(9)), *("\n".join(common[k] for k in o) for o in orders)]
+    want = repeated_words(texts)
+    assert sorted(want) == [2, 6]
+    assert reported_words(texts, chunks.repeats(docs(texts)).collect()) == want
