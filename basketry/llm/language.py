@@ -1,6 +1,6 @@
 """Language identification with language-bitmask n-gram filters.
 
-The model is one bit-sliced Bloom filter: a table of ``slots`` masks with a bit per language. An n-gram of a language sets
+The model is one bit-sliced Bloom filter: a table of ``slots`` masks with a bit per language, in planes of 32 languages. An n-gram of a language sets
 that language's bit in ``hashes`` slots; the AND of the slots of an n-gram is the set of all languages that (may)
 contain it, so one look-up answers for every language. Over a text the bits are counted per language. A language whose
 plane has fill ``f`` answers yes to a foreign n-gram with probability ``p = f ** hashes``; the count ``c`` of ``n`` n-grams is
@@ -10,7 +10,8 @@ N-grams are ``NGRAM`` bytes of the lower-cased text in UTF-8, white space and pu
 left out; texts are read whole. The planes hold the n-grams seen in at least ``min_docs`` training documents of the language.
 
 Training: labelled rows, at most ``sample_docs`` per language (those of smallest hash, a documented bound), so the
-distinct n-grams and the table have a fixed size; the table is broadcast (``slots`` x 4 bytes). Prediction is one pass
+distinct n-grams and the table have a fixed size per language; the table is broadcast (``slots`` x 4 bytes for every 32 languages, without
+labels of which no n-gram is known, as misspelt ones). Prediction is one pass
 over all documents without a shuffle.
 
 Defined cases: ``und`` with score 0 for a null text, one without a letter, and any text when nothing could be learned; ties
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .textkit import mix64, seeds, text_slices, utf8_buffer
 
-#: Bytes of an n-gram, slots of the table (a power of two), look-ups per n-gram, most languages.
+#: Bytes of an n-gram, slots of the table (a power of two), look-ups per n-gram, languages of a plane.
 NGRAM, SLOTS, HASHES, LANGUAGES = 5, 1 << 21, 2, 32
 #: Training documents per language at most, and those an n-gram must be in.
 SAMPLE_DOCS, MIN_DOCS = 1000, 2
@@ -76,11 +77,13 @@ class Model:
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text: n-grams, and n-grams found per language."""
         h, doc = ngrams(texts)
-        mask = None
-        for at in slots_of(h, len(self.table)):
-            mask = self.table[at] if mask is None else mask & self.table[at]
-        total = np.bincount(doc, minlength=len(texts))
-        found = np.stack([np.bincount(doc, weights=(mask >> np.uint32(k)) & np.uint32(1), minlength=len(texts)) for k in range(len(self.languages))], axis=1)
+        total, found = np.bincount(doc, minlength=len(texts)), []
+        at = list(slots_of(h, self.table.shape[1]))
+        for p, plane in enumerate(self.table):
+            mask = np.bitwise_and.reduce([plane[x] for x in at])
+            for k in range(min(LANGUAGES, len(self.languages) - p * LANGUAGES)):
+                found.append(np.bincount(doc, weights=(mask >> np.uint32(k)) & np.uint32(1), minlength=len(texts)))
+        found = np.stack(found, axis=1)
         return total, found
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -103,19 +106,18 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_do
     """
     rows = labelled.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).filter("_lang is not null and _text is not null")
     keyed = rows.select("_lang", F.xxhash64("_text").alias("_h"), "_text")
-    sizes = keyed.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES + 1).collect()
+    sizes = keyed.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").collect()  # a row per language
     names = [r[0] for r in sizes]
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    sample = None
-    for name in names:
+    large = [r[0] for r in sizes if r[1] > sample_docs]
+    sample = keyed.filter(~F.col("_lang").isin(large)).dropDuplicates(["_lang", "_h"]) if len(large) < len(names) else None
+    for name in large:
         of_language = keyed.filter(F.col("_lang") == name)
         # which hashes are in the sample is settled without the texts, which are then read and sent for the sample alone
         last = of_language.select("_h").distinct().orderBy("_h").limit(sample_docs).agg(F.max("_h")).first()[0]
         one = of_language.filter(F.col("_h") <= last).dropDuplicates(["_h"])
         sample = one if sample is None else sample.unionByName(one)
     if sample is None:
-        return Model([], np.zeros(slots, np.uint32), np.zeros(0))
+        return Model([], np.zeros((0, slots), np.uint32), np.zeros(0))
 
     def slots_by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,13 +128,15 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_do
                 yield pa.RecordBatch.from_arrays([langs, pa.array(both[:, 1].view(np.int64) if len(both) else [], pa.int64())], names=["_lang", "gram"])
 
     grams = sample.mapInArrow(slots_by_document, "_lang string, gram bigint").groupBy("_lang", "gram").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
-    table = np.zeros(slots, np.uint32)
-    found = grams.select("_lang", "gram").toPandas()  # bounded by sample_docs per language
+    found = {k: g.to_numpy(np.int64).view(np.uint64) for k, g in grams.select("_lang", "gram").toPandas().groupby("_lang")["gram"]}  # bounded by sample_docs per language
+    names = [name for k, name in enumerate(names) if not k or name in found]
+    table = np.zeros((-(-len(names) // LANGUAGES), slots), np.uint32)
+    fill = np.zeros(len(names))
     for k, name in enumerate(names):
-        h = found.loc[found["_lang"] == name, "gram"].to_numpy(np.int64).view(np.uint64)
-        for at in slots_of(h, slots):
-            table[at] |= np.uint32(1 << k)
-    fill = np.array([((table >> np.uint32(k)) & np.uint32(1)).mean() for k in range(len(names))])
+        plane, bit = table[k // LANGUAGES], np.uint32(1 << k % LANGUAGES)
+        for at in slots_of(found.get(name, np.zeros(0, np.uint64)), slots):
+            plane[at] |= bit
+        fill[k] = np.count_nonzero(plane & bit) / slots
     return Model(names, table, fill ** HASHES)
 
 

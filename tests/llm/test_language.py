@@ -24,3 +24,12 @@ def test_defined_cases(spark, docs):
     assert language.predict(docs([]), model).count() == 0
     none = language.train(train.filter("lang = 'xx'"))
     assert {r.lang_pred for r in language.predict(docs(texts), none).collect()} == {"und"}
+
+
+def test_any_number_of_labels(spark, docs):
+    words = {f"l{k:02d}": " ".join(chr(97 + (k * 7 + j * j * (k + 3)) % 26) + chr(97 + (k + j * 5) % 26) + f"{chr(97 + k % 26)}{chr(97 + k // 26)}xyz" for j in range(9)) for k in range(70)}
+    rows = [(f"{text} {end}", lang) for lang, text in words.items() for end in ("one", "two")] + [("a lone text", "misspelt")]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 70 and "misspelt" not in model.languages
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs(list(words.values())), model).collect()}
+    assert [got[k] for k in range(70)] == list(words)

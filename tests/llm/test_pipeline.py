@@ -34,3 +34,9 @@ def test_stages_keep_the_columns(spark, tables, docs):
         out = stage(spark, empty, tables)
         assert out.columns == list(corpus_pipeline.COLUMNS), name
         assert out.count() == 0
+
+
+def test_unlabelled_corpus_is_kept(spark, tables):
+    rows = [(k, t, None, "s", 1) for k, t in enumerate(["some text", None, "", "12 !?", "é"])]
+    unlabelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, unlabelled, tables).collect()} == {0, 4}
