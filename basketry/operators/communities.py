@@ -11,6 +11,8 @@ from .graph import modularity, symmetric
 
 #: A move, and a round of moves, must raise modularity by more than this (rounding error).
 EPSILON = 1e-12
+#: Rounds between two looks at the modularity.
+CHECK = 10
 
 
 def _node_weights(sym: DataFrame, loops: DataFrame) -> DataFrame:
@@ -19,67 +21,85 @@ def _node_weights(sym: DataFrame, loops: DataFrame) -> DataFrame:
     return parts.groupBy("node").agg(F.sum("w").alias("k"))
 
 
-def _move_round(sym: DataFrame, nodes: DataFrame, part: DataFrame, m2: float, resolution: float, turn) -> DataFrame:
-    """One half-round of moves: every node whose ``turn`` it is goes to its best neighbouring community.
+def _move_round(sym: DataFrame, nodes: DataFrame, state: DataFrame, m2: float, resolution: float, turn) -> DataFrame:
+    """One round of moves: every active node whose ``turn`` it is goes to its best neighbouring community.
 
-    Only half of the nodes move at once, and of two single nodes only the one with the larger id joins the other, so
-    neighbours do not swap for ever. Ties go to the smallest community id, so a round is deterministic.
-    Returns node, community, moved.
+    ``state`` has ``node, community, moved, pending``. Active are the nodes still pending and the neighbours of those that moved in the
+    round before; only the edges of active nodes are looked at. Half of the nodes have their turn, and of two single nodes only the
+    one with the larger id joins the other, so neighbours do not swap for ever. Ties go to the smallest community id, so a
+    round is deterministic.
     """
-    near = part.select(F.col("node").alias("v"), F.col("community").alias("_c"))
-    links = sym.join(near, "v").groupBy(F.col("u").alias("node"), "_c").agg(F.sum("w").alias("_kin"))
-    own = part.select("node", F.col("community").alias("_c"), F.lit(0.0).alias("_kin"))
+    movers = state.filter("moved").select(F.col("node").alias("v"))
+    woken = sym.join(movers, "v", "left_semi").select(F.col("u").alias("node"), F.lit(True).alias("_woken")).distinct()
+    flagged = state.join(woken, "node", "left").select("node", "community", (F.col("pending") | F.coalesce("_woken", F.lit(False))).alias("active"))
+    acting = flagged.filter(F.col("active") & turn).join(nodes, "node").select("node", "community", "k")
+    near = state.select(F.col("node").alias("v"), F.col("community").alias("_c"))
+    links = sym.join(acting.select(F.col("node").alias("u")), "u", "left_semi").join(near, "v").groupBy(F.col("u").alias("node"), "_c").agg(F.sum("w").alias("_kin"))
+    own = acting.select("node", F.col("community").alias("_c"), F.lit(0.0).alias("_kin"))
     cand = links.unionByName(own).groupBy("node", "_c").agg(F.sum("_kin").alias("_kin"))
-    state = part.join(nodes, "node")
-    tot = state.groupBy(F.col("community").alias("_c")).agg(F.sum("k").alias("_tot"), F.count(F.lit(1)).alias("_size"))
+    tot = state.join(nodes, "node").groupBy(F.col("community").alias("_c")).agg(F.sum("k").alias("_tot"), F.count(F.lit(1)).alias("_size"))
     stays = F.col("_c") == F.col("community")
     scored = (
-        cand.join(state, "node").join(tot, "_c")
+        cand.join(acting, "node").join(tot, "_c")
         .withColumn("_rest", F.col("_tot") - F.when(stays, F.col("k")).otherwise(0.0))
         .withColumn("_gain", F.col("_kin") - resolution * F.col("k") * F.col("_rest") / m2)
     )
-    best = scored.groupBy("node", "community").agg(
+    best = scored.groupBy("node", F.col("community").alias("_old")).agg(
         F.max("_gain").alias("_best"),
         F.min_by(F.struct("_c", "_size"), F.struct(-F.col("_gain"), F.col("_c"))).alias("_to"),
         F.max(F.when(stays, F.col("_gain"))).alias("_stay"), F.max(F.when(stays, F.col("_size"))).alias("_own"))
     to = F.col("_to")
-    swap = (F.col("_own") == 1) & (to["_size"] == 1) & (to["_c"] > F.col("community"))
-    go = turn & ~swap & (F.col("_best") > F.col("_stay") + EPSILON * m2)
-    return best.select("node", F.when(go, to["_c"]).otherwise(F.col("community")).alias("community"), go.alias("moved"))
-
-
-def _refine(edges: DataFrame, part: DataFrame, resolution: float) -> tuple[DataFrame, float]:
-    """Local moves from a partition until modularity stops rising; returns the best partition and its modularity.
-
-    ``edges`` may hold self-loops. A round is two half-rounds over a split of the nodes by hash. Driver traffic is two numbers
-    per round: the moves, observed while the new partition is written, and the modularity.
+    swap = (F.col("_own") == 1) & (to["_size"] == 1) & (to["_c"] > F.col("_old"))
+    go = ~swap & (F.col("_best") > F.col("_stay") + EPSILON * m2)
+    done = best.select("node", to["_c"].alias("_c"), go.alias("_go"))
+    return flagged.join(done, "node", "left").select(
+        "node", F.when(F.col("_go"), F.col("_c")).otherwise(F.col("community")).alias("community"), F.coalesce("_go", F.lit(False)).alias("moved"),
+        (F.col("active") & F.col("_go").isNull()).alias("pending"))
+
+
+def _refine(edges: DataFrame, part: DataFrame, resolution: float, active: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """Local moves from a partition until no node wants to move; returns the best partition found and its modularity.
+
+    ``edges`` may hold self-loops. A frontier of active nodes is worked off: a node leaves it when it stays where it is, and the neighbours of a node
+    that moves enter it. The frontier starts with all nodes, and when it is empty all nodes are looked at once more (the sum
+    of a community can change without a neighbour moving), until that moves nothing. With ``active(node)`` it starts with these and their
+    neighbours, and ends when it is empty. A round is one written table and one number, observed while it is written;
+    every ``CHECK`` rounds the modularity must have risen.
     """
     plain = edges.filter(F.col("src") != F.col("dst"))
     loops = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.col("weight").alias("w"))
     sym = symmetric(plain)
     nodes = cut_lineage(_node_weights(sym, loops))
     m2 = nodes.agg(F.sum("k")).first()[0] or 0.0
-    best_q = modularity(edges, part, resolution).first()[0]
-    best = current = part
+    best, best_q = part, modularity(edges, part, resolution).first()[0]
     if m2 == 0:
         return best, best_q
+    no, yes = F.lit(False), F.lit(True)
+    if active is None:
+        state = part.select("node", "community", no.alias("moved"), yes.alias("pending"))
+        busy = 1
+    else:
+        marked = part.join(active.select("node", yes.alias("_x")).distinct(), "node", "left")
+        state = cut_lineage(marked.select("node", "community", F.coalesce("_x", no).alias("moved"), F.coalesce("_x", no).alias("pending")))
+        busy = 0 if state.filter("moved").isEmpty() else 1
+    since = 0
     for number in count():
-        moves = 0
-        half = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2))
-        for parity in (0, 1):
-            seen = Observation()
-            step = _move_round(sym, nodes, current, m2, resolution, half == parity)
-            step = cut_lineage(step.observe(seen, F.sum(F.col("moved").cast("long")).alias("n")))
-            moves += seen.get["n"] or 0
-            current = step.select("node", "community")
-        if moves == 0:
-            break
-        q = modularity(edges, current, resolution).first()[0]
-        gain = q - best_q
-        if gain <= EPSILON:
-            break
-        best, best_q = current, q
-    return best, best_q
+        if busy == 0:
+            if since == 0 or active is not None:
+                break
+            state, since = state.withColumn("pending", yes), 0
+        seen = Observation()
+        turn = F.pmod(F.xxhash64("node", F.lit(number // 2)), F.lit(2)) == number % 2
+        step = _move_round(sym, nodes, state, m2, resolution, turn)
+        state = cut_lineage(step.observe(seen, F.sum(F.col("moved").cast("long")).alias("n"), F.sum((F.col("moved") | F.col("pending")).cast("long")).alias("busy")))
+        since, busy = since + (seen.get["n"] or 0), seen.get["busy"] or 0
+        if number % CHECK == CHECK - 1:
+            q = modularity(edges, state, resolution).first()[0]
+            if q <= best_q + EPSILON:
+                break
+            best, best_q = state, q
+    q = modularity(edges, state, resolution).first()[0]
+    return (state.select("node", "community"), q) if q > best_q + EPSILON else (best.select("node", "community"), best_q)
 
 
 def _singletons(edges: DataFrame) -> DataFrame:
@@ -134,7 +154,8 @@ def refine(edges: DataFrame, partition: DataFrame, resolution: float = 1.0) -> D
 def louvain_incremental(edges: DataFrame, previous: DataFrame, changed: DataFrame | None = None, resolution: float = 1.0) -> DataFrame:
     """Continue from ``previous(node, community)`` on a changed graph.
 
-    New nodes and the nodes of ``changed(node)`` start on their own; nodes that left the graph are dropped.
+    New nodes and the nodes of ``changed(node)`` start on their own; nodes that left the graph are dropped. Only these nodes, their
+    neighbours and the neighbours of nodes that move are looked at: without a change there is no round at all.
     """
     nodes = _singletons(edges).select("node")
     start = nodes.join(previous.select("node", F.col("community").alias("_p")), "node", "left")
@@ -144,5 +165,7 @@ def louvain_incremental(edges: DataFrame, previous: DataFrame, changed: DataFram
         start = start.withColumn("_x", F.lit(None).cast("boolean"))
     # a node that restarts must not take the id of a community that others still use, hence the prefix
     own = F.concat(F.lit("\u0000"), F.col("node").cast("string"))
-    start = start.select("node", F.when(F.col("_x") | F.col("_p").isNull(), own).otherwise(F.col("_p").cast("string")).alias("community"))
-    return refine(edges, start, resolution)
+    fresh = F.coalesce("_x", F.lit(False)) | F.col("_p").isNull()
+    start = cut_lineage(start.select("node", F.when(fresh, own).otherwise(F.col("_p").cast("string")).alias("community"), fresh.alias("_fresh")))
+    base = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    return canonical(_refine(base, start.select("node", "community"), resolution, start.filter("_fresh").select("node"))[0])

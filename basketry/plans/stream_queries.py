@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.lineage import checkpoint_dir
+from ..functions.lineage import checkpoint_dir, cut_lineage
 from ..operators import graph as G
-from ..streaming import jobs as J
+from ..streaming import jobs as J, tasks as K
 from . import bindings as Bd
 from .catalog import Tables, query, with_ctes
 from .text_queries import LEXICON, PATTERNS, lexicon_sql
@@ -75,6 +75,51 @@ def stream_status(t: Tables) -> DataFrame:
     return state.groupBy("status").agg(F.max_by("count", "batch").alias("count"))
 
 
+#: Conversations as tasks of all their turns. A fifth of them is not answered yet, another fifth for the first turn only.
+CONV_KIND = "CASE conv_id % 4 WHEN 0 THEN 'batch_adverse' WHEN 1 THEN 'batch_efficacy' WHEN 2 THEN 'efficacy_analyze' ELSE 'guess' END"
+CONV_TEXTS = [
+    ("turns", f"SELECT conv_id, {CONV_KIND} AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i, text FROM conversations"),
+    ("tasks", "SELECT conv_id || '-' || i AS doc_id, kind AS source, '' AS lang, text FROM turns"),
+]
+
+
+def _conversation_tasks(t: Tables) -> DataFrame:
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return t.conversations.groupBy("conv_id").agg(turns.alias("texts")).select(
+        "conv_id", F.col("conv_id").cast("string").alias("task_id"), F.expr(CONV_KIND).alias("task_type"), "texts", F.timestamp_seconds("conv_id").alias("ts"))
+
+
+def _run_tasks(t: Tables) -> str:
+    """Three files of events, each run from the checkpoint of the one before; a task's rows come in any of them."""
+    base = _folder(t)
+    tasks = _conversation_tasks(t)
+    answers = K.answers(tasks, LEXICON, PATTERNS).filter("task_id % 5 > 1 or (task_id % 5 = 1 and text_index = 0)")
+    events = cut_lineage(K.submissions(tasks).unionByName(answers).withColumn("_file", F.pmod(F.col("task_id").cast("long") + F.coalesce("text_index", F.lit(1)), F.lit(3))))
+    for k in range(3):
+        events.filter(F.col("_file") == k).drop("_file").coalesce(4).write.mode("append").parquet(f"{base}/in")
+        states = K.task_states(t.spark.readStream.schema(K.EVENTS).parquet(f"{base}/in"))
+        with K.settings(t.spark):
+            states.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{base}/state"
+
+
+REACTIONS_SQL = " + ".join(f"CAST(regexp_matches(turns.text, '{p}') AS BIGINT)" for p, _, _ in PATTERNS)
+
+
+@query("stream_task_states", with_ctes(*CONV_TEXTS, *lexicon_sql(LEXICON, "tasks"), (
+    "parts", f"SELECT turns.conv_id, turns.kind, turns.kind <> 'guess' AND (conv_id % 5 > 1 OR (conv_id % 5 = 1 AND i = 0)) AS done, CASE WHEN kind IN ('batch_efficacy', 'efficacy_analyze') THEN round(s, 4) END AS s, "
+             f"CASE WHEN kind = 'batch_adverse' THEN {REACTIONS_SQL} END AS r FROM turns JOIN ana ON ana.doc_id = conv_id || '-' || i"), body=(
+    "SELECT CAST(conv_id AS VARCHAR) AS task_id, CASE WHEN kind = 'guess' THEN 'failed' WHEN count(*) FILTER (done) = count(*) THEN 'completed' WHEN count(*) FILTER (done) > 0 THEN 'processing' ELSE 'pending' END AS status, "
+    "CAST(count(*) AS INTEGER) AS n_texts, CAST(count(*) FILTER (done) AS INTEGER) AS n_results, round(sum(s) FILTER (done), 4) AS sentiment, CAST(sum(r) FILTER (done) AS BIGINT) AS reactions FROM parts GROUP BY conv_id, kind")))
+def stream_task_states(t: Tables) -> DataFrame:
+    """Final states of the tasks and what their results say, by id, read from the state."""
+    checkpoint = _run_tasks(t)
+    results = K.task_results(t.spark, checkpoint).select(
+        "task_id", F.get_json_object("result", "$.sentiment_score").cast("double").alias("s"), F.size(F.from_json(F.get_json_object("result", "$.reactions"), "array<string>")).alias("r"))
+    sums = results.groupBy("task_id").agg(F.round(F.sum("s"), 4).alias("sentiment"), F.sum(F.when(F.col("r") >= 0, F.col("r"))).cast("long").alias("reactions"))
+    return K.current_tasks(t.spark, checkpoint).join(sums, "task_id", "left").select("task_id", "status", "n_texts", "n_results", "sentiment", "reactions")
+
+
 @query("drop_old_results", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 3600 SECOND")
 def drop_old_results(t: Tables) -> DataFrame:
     results = t.events.select("event_id", F.date_trunc("second", "ts").alias("completed_at"), "ts")
@@ -120,13 +165,13 @@ def _run_changes(t: Tables) -> str:
 @query("stream_basket_changes", with_ctes(*CHANGES, body="SELECT basket_id, array_to_string(items, ',') AS items, frequency FROM alive"))
 def stream_basket_changes(t: Tables) -> DataFrame:
     base = _run_changes(t)
-    return J.VersionedTable(t.spark, f"{base}/baskets", J.BASKET_STATE).read().select("basket_id", F.array_join("items", ",").alias("items"), "frequency")
+    return J.basket_tables(t.spark, base)[0].read().select("basket_id", F.array_join("items", ",").alias("items"), "frequency")
 
 
 @query("stream_changed_pairs", with_ctes(*CHANGES, ("bi", "SELECT DISTINCT basket_id, frequency, item FROM (SELECT basket_id, frequency, unnest(items) AS item FROM alive)"), body=PAIR_SQL))
 def stream_changed_pairs(t: Tables) -> DataFrame:
     base = _run_changes(t)
-    return J.VersionedTable(t.spark, f"{base}/pairs", J.PAIR_STATE).read().withColumn("weight", F.round("weight", 2))
+    return J.basket_tables(t.spark, base)[1].read().withColumn("weight", F.round("weight", 2))
 
 
 @query("stream_communities")

@@ -14,6 +14,7 @@ from ..functions.lineage import cut_lineage
 from ..operators import communities as C, text as X
 from ..operators.baskets import co_occurrence
 from ..operators.rows import first_per_key
+from .buckets import BucketedTable
 
 REACTION_TASKS = ("adverse_extract", "batch_adverse")
 SENTIMENT_TASKS = ("efficacy_analyze", "batch_efficacy")
@@ -39,6 +40,12 @@ def stream_text_mining(tasks: DataFrame, lexicon: X.Lexicon, patterns: Sequence[
     rows = with_status(distinct_tasks(tasks))
     texts = F.when(F.col("status") == "completed", F.col("texts")).otherwise(F.array(F.lit(None).cast("string")))
     rows = rows.select("task_id", "task_type", "ts", "status", "error", F.posexplode_outer(texts).alias("text_index", "text"))
+    return scored_texts(rows, lexicon, patterns)
+
+
+def scored_texts(rows: DataFrame, lexicon: X.Lexicon, patterns: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """``rows(task_id, task_type, ts, ..., text_index, text)`` with their reactions or sentiment, by the type of their task."""
+    kept = [c for c in ("task_id", "task_type", "ts", "status", "error", "text_index") if c in rows.columns]
     out = X.analyze_texts(rows, "text", lexicon)
     reaction, sentiment = F.col("task_type").isin(*REACTION_TASKS), F.col("task_type").isin(*SENTIMENT_TASKS)
     found = F.filter(F.array(*[
@@ -47,7 +54,7 @@ def stream_text_mining(tasks: DataFrame, lexicon: X.Lexicon, patterns: Sequence[
             (F.regexp_instr(F.col("text"), F.lit(p)) - 1).alias("position")))
         for p, t, s in patterns]), lambda x: x.isNotNull())
     return out.select(
-        "task_id", "task_type", "ts", "status", "error", "text_index", F.when(reaction, found).alias("reactions"),
+        *kept, F.when(reaction, found).alias("reactions"),
         *[F.when(sentiment, F.col(c)).alias(c) for c in ("sentiment_score", "match_count", "overall_confidence", "needs_human_review")])
 
 
@@ -113,11 +120,16 @@ def apply_changes(baskets: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(last.filter(F.col("action") != "delete").select(*baskets.columns))
 
 
-def changed_pairs(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Pair table after baskets changed from ``before`` to ``after`` (only those baskets are paired again)."""
+def pair_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What baskets that changed from ``before`` to ``after`` add to and take from the pair sums; one row per pair."""
     minus = basket_pairs(before).select("item_a", "item_b", F.lit(-1).cast("long").alias("count"), (-F.col("frequency")).alias("weight"))
     plus = basket_pairs(after).select("item_a", "item_b", F.lit(1).cast("long").alias("count"), F.col("frequency").alias("weight"))
-    return pairs.unionByName(minus).unionByName(plus).groupBy("item_a", "item_b").agg(
+    return minus.unionByName(plus).groupBy("item_a", "item_b").agg(F.sum("count").alias("count"), F.sum("weight").alias("weight"))
+
+
+def changed_pairs(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Pair table after baskets changed from ``before`` to ``after`` (only those baskets are paired again)."""
+    return pairs.unionByName(pair_changes(before, after)).groupBy("item_a", "item_b").agg(
         F.sum("count").alias("count"), F.sum("weight").alias("weight")).filter(F.col("count") > 0)
 
 
@@ -125,18 +137,27 @@ BASKET_STATE = "basket_id long, items array<string>, frequency double"
 PAIR_STATE = "item_a string, item_b string, count long, weight double"
 
 
-def basket_change_writer(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that keeps ``<path>/baskets`` and ``<path>/pairs`` current."""
-    baskets, pairs = VersionedTable(spark, f"{path}/baskets", BASKET_STATE), VersionedTable(spark, f"{path}/pairs", PAIR_STATE)
+def basket_tables(spark: SparkSession, path: str, **options: int) -> tuple[BucketedTable, BucketedTable]:
+    """The state that :func:`basket_change_writer` keeps: baskets by id, and the sums of their pairs."""
+    return (BucketedTable(spark, f"{path}/baskets", BASKET_STATE, ["basket_id"], **options),
+            BucketedTable(spark, f"{path}/pairs", PAIR_STATE, ["item_a", "item_b"], ["count", "weight"], **options))
+
+
+def basket_change_writer(spark: SparkSession, path: str, **options: int) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that keeps the tables of :func:`basket_tables` current.
+
+    A batch reads the buckets of its baskets and writes rows for these baskets and their pairs alone. ``options`` are
+    ``buckets`` and ``max_parts`` of the tables.
+    """
+    baskets, pairs = basket_tables(spark, path, **options)
 
     def write(changes: DataFrame, batch_id: int) -> None:
-        changes = cut_lineage(changes)
-        old = baskets.read(batch_id)
-        touched = changes.select("basket_id").distinct()
-        before = old.join(touched, "basket_id", "left_semi")
-        baskets.write(apply_changes(old, changes), batch_id)
-        after = baskets.read(batch_id + 1).join(touched, "basket_id", "left_semi")
-        pairs.write(changed_pairs(pairs.read(batch_id), before, after), batch_id)
+        last = cut_lineage(first_per_key(changes, ["basket_id"], [F.desc("ts"), F.desc("action")]))
+        rows = last.select("basket_id", "items", "frequency", (F.col("action") == "delete").alias("deleted"))
+        before = baskets.read(batch_id, last)
+        delta = cut_lineage(pair_changes(before, rows.filter(~F.col("deleted"))).filter((F.col("count") != 0) | (F.col("weight") != 0)))
+        baskets.write(rows, batch_id)
+        pairs.write(delta, batch_id)
 
     return write
 

@@ -34,10 +34,9 @@ def test_changes_over_batches_equal_the_batch_result(spark, tmp_path):
     writer = J.basket_change_writer(spark, str(tmp_path / "tables"))
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     start(src, writer, tmp_path)
-    baskets = J.VersionedTable(spark, str(tmp_path / "tables/baskets"), J.BASKET_STATE)
+    baskets, pairs = J.basket_tables(spark, str(tmp_path / "tables"))
     state = {r.basket_id: (sorted(r["items"]), r.frequency) for r in baskets.read().collect()}
     assert state == {1: (["a", "c"], 3.0), 3: (["a", "c"], 1.0)}
-    pairs = J.VersionedTable(spark, str(tmp_path / "tables/pairs"), J.PAIR_STATE)
     got = {(r.item_a, r.item_b): (r["count"], r.weight) for r in pairs.read().collect()}
     want = {(r.item_a, r.item_b): (r["count"], r.weight) for r in J.co_occurrence_of(baskets.read()).collect()}
     assert got == want == {("a", "c"): (2, 4.0)}
