@@ -21,26 +21,28 @@ def _node_weights(sym: DataFrame, loops: DataFrame) -> DataFrame:
     return parts.groupBy("node").agg(F.sum("w").alias("k"))
 
 
-def _move_round(sym: DataFrame, nodes: DataFrame, state: DataFrame, m2: float, resolution: float, turn) -> DataFrame:
+def _move_round(sym: DataFrame, state: DataFrame, m2: float, resolution: float, turn, wake: bool) -> DataFrame:
     """One round of moves: every active node whose ``turn`` it is goes to its best neighbouring community.
 
-    ``state`` has ``node, community, moved, pending``. Active are the nodes still pending and the neighbours of those that moved in the
-    round before; only the edges of active nodes are looked at. Half of the nodes have their turn, and of two single nodes only the
+    ``state`` has ``node, community, k, moved, pending``. Active are the nodes still pending and, with ``wake``, the neighbours of those that moved in
+    the round before; only the edges of active nodes are looked at. Half of the nodes have their turn, and of two single nodes only the
     one with the larger id joins the other, so neighbours do not swap for ever. Ties go to the smallest community id, so a
     round is deterministic.
     """
-    movers = state.filter("moved").select(F.col("node").alias("v"))
-    woken = sym.join(movers, "v", "left_semi").select(F.col("u").alias("node"), F.lit(True).alias("_woken")).distinct()
-    flagged = state.join(woken, "node", "left").select("node", "community", (F.col("pending") | F.coalesce("_woken", F.lit(False))).alias("active"))
-    acting = flagged.filter(F.col("active") & turn).join(nodes, "node").select("node", "community", "k")
+    flagged = state.select("node", "community", "k", F.col("pending").alias("active"))
+    if wake:
+        movers = state.filter("moved").select(F.col("node").alias("v"))
+        woken = sym.join(movers, "v", "left_semi").select(F.col("u").alias("node"), F.lit(True).alias("_woken")).distinct()
+        flagged = state.join(woken, "node", "left").select("node", "community", "k", (F.col("pending") | F.coalesce("_woken", F.lit(False))).alias("active"))
+    acting = flagged.filter(F.col("active") & turn).drop("active")
     near = state.select(F.col("node").alias("v"), F.col("community").alias("_c"))
-    links = sym.join(acting.select(F.col("node").alias("u")), "u", "left_semi").join(near, "v").groupBy(F.col("u").alias("node"), "_c").agg(F.sum("w").alias("_kin"))
-    own = acting.select("node", F.col("community").alias("_c"), F.lit(0.0).alias("_kin"))
-    cand = links.unionByName(own).groupBy("node", "_c").agg(F.sum("_kin").alias("_kin"))
-    tot = state.join(nodes, "node").groupBy(F.col("community").alias("_c")).agg(F.sum("k").alias("_tot"), F.count(F.lit(1)).alias("_size"))
+    links = sym.withColumnRenamed("u", "node").join(acting, "node").join(near, "v").select("node", "community", "k", "_c", F.col("w").alias("_kin"))
+    own = acting.select("node", "community", "k", F.col("community").alias("_c"), F.lit(0.0).alias("_kin"))
+    cand = links.unionByName(own).groupBy("node", "community", "k", "_c").agg(F.sum("_kin").alias("_kin"))
+    tot = state.groupBy(F.col("community").alias("_c")).agg(F.sum("k").alias("_tot"), F.count(F.lit(1)).alias("_size"))
     stays = F.col("_c") == F.col("community")
     scored = (
-        cand.join(acting, "node").join(tot, "_c")
+        cand.join(tot, "_c")
         .withColumn("_rest", F.col("_tot") - F.when(stays, F.col("k")).otherwise(0.0))
         .withColumn("_gain", F.col("_kin") - resolution * F.col("k") * F.col("_rest") / m2)
     )
@@ -53,7 +55,7 @@ def _move_round(sym: DataFrame, nodes: DataFrame, state: DataFrame, m2: float, r
     go = ~swap & (F.col("_best") > F.col("_stay") + EPSILON * m2)
     done = best.select("node", to["_c"].alias("_c"), go.alias("_go"))
     return flagged.join(done, "node", "left").select(
-        "node", F.when(F.col("_go"), F.col("_c")).otherwise(F.col("community")).alias("community"), F.coalesce("_go", F.lit(False)).alias("moved"),
+        "node", F.when(F.col("_go"), F.col("_c")).otherwise(F.col("community")).alias("community"), "k", F.coalesce("_go", F.lit(False)).alias("moved"),
         (F.col("active") & F.col("_go").isNull()).alias("pending"))
 
 
@@ -75,24 +77,26 @@ def _refine(edges: DataFrame, part: DataFrame, resolution: float, active: DataFr
     if m2 == 0:
         return best, best_q
     no, yes = F.lit(False), F.lit(True)
+    weighed = part.join(nodes, "node").select("node", "community", "k")
     if active is None:
-        state = part.select("node", "community", no.alias("moved"), yes.alias("pending"))
-        busy = 1
+        state = cut_lineage(weighed.withColumns({"moved": no, "pending": yes}))
+        moved, busy = 0, 1
     else:
-        marked = part.join(active.select("node", yes.alias("_x")).distinct(), "node", "left")
-        state = cut_lineage(marked.select("node", "community", F.coalesce("_x", no).alias("moved"), F.coalesce("_x", no).alias("pending")))
-        busy = 0 if state.filter("moved").isEmpty() else 1
+        marked = weighed.join(active.select("node", yes.alias("_x")).distinct(), "node", "left").withColumn("moved", F.coalesce("_x", no))
+        state = cut_lineage(marked.withColumn("pending", F.col("moved")).drop("_x"))
+        moved = busy = 0 if state.filter("moved").isEmpty() else 1
     since = 0
     for number in count():
         if busy == 0:
             if since == 0 or active is not None:
                 break
-            state, since = state.withColumn("pending", yes), 0
+            state, since, moved = state.withColumn("pending", yes), 0, 0
         seen = Observation()
         turn = F.pmod(F.xxhash64("node", F.lit(number // 2)), F.lit(2)) == number % 2
-        step = _move_round(sym, nodes, state, m2, resolution, turn)
+        step = _move_round(sym, state, m2, resolution, turn, moved > 0)
         state = cut_lineage(step.observe(seen, F.sum(F.col("moved").cast("long")).alias("n"), F.sum((F.col("moved") | F.col("pending")).cast("long")).alias("busy")))
-        since, busy = since + (seen.get["n"] or 0), seen.get["busy"] or 0
+        moved, busy = seen.get["n"] or 0, seen.get["busy"] or 0
+        since += moved
         if number % CHECK == CHECK - 1:
             q = modularity(edges, state, resolution).first()[0]
             if q <= best_q + EPSILON:

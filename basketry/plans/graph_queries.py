@@ -273,6 +273,21 @@ def links_resource_allocation(t: Tables) -> DataFrame:
     return _predict(t, "resource_allocation")
 
 
+@query("top_links_common_neighbors", _link_sql("CAST(cn AS DOUBLE)", "common_neighbors"))
+def top_links_common_neighbors(t: Tables) -> DataFrame:
+    return L.top_links(Bd.graph_edges(t), "common_neighbors", digits=6)
+
+
+@query("top_links_adamic_adar", _link_sql("aa", "adamic_adar"))
+def top_links_adamic_adar(t: Tables) -> DataFrame:
+    return L.top_links(Bd.graph_edges(t), "adamic_adar", digits=6)
+
+
+@query("top_links_resource_allocation", _link_sql("ra", "resource_allocation", 10))
+def top_links_resource_allocation(t: Tables) -> DataFrame:
+    return L.top_links(Bd.graph_edges(t), "resource_allocation", 10, digits=6)
+
+
 @query("links_preferential_attachment", with_ctes(*Bd.GRAPH, body=(
     "SELECT a.node AS item_a, b.node AS item_b, CAST(a.degree * b.degree AS DOUBLE) AS score, 'preferential_attachment' AS method FROM deg a JOIN deg b ON a.node < b.node "
     "WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src = a.node AND dst = b.node) ORDER BY score DESC, 1, 2 LIMIT 50")))

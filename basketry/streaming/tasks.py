@@ -66,7 +66,7 @@ def lifecycle(max_age_ms: int, marker_ms: int) -> StatefulProcessor:
     """The processor; made here, so that it is sent to the workers by value."""
 
     class TaskLifecycle(StatefulProcessor):
-        """Keeps the state of one task per key; emits a row whenever its status or number of results changes."""
+        """Keeps the state of one task per key; emits a row whenever its status or a number of texts or results changes."""
 
         def __init__(self, max_age_ms: int, marker_ms: int):
             self.max_age_ms, self.marker_ms = max_age_ms, marker_ms
@@ -85,7 +85,7 @@ def lifecycle(max_age_ms: int, marker_ms: int) -> StatefulProcessor:
                 return
             old = self.task.get() if self.task.exists() else None
             status, kind, n_texts, n_results, error, at, ended = old or (None, None, None, 0, None, None, None)
-            before, fresh = (status, n_results), []
+            before, fresh = (status, n_texts, n_results), []
             for r in rows:
                 if status in (COMPLETED, FAILED):
                     continue
@@ -102,7 +102,7 @@ def lifecycle(max_age_ms: int, marker_ms: int) -> StatefulProcessor:
                     status = COMPLETED
                 else:
                     status = PROCESSING if n_results else PENDING
-            if (status, n_results) != before:
+            if (status, n_texts, n_results) != before:
                 if status in (COMPLETED, FAILED) and ended is None:
                     ended = timerValues.getCurrentProcessingTimeInMs()
                     self.handle.registerTimer(ended + self.max_age_ms)

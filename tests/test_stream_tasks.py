@@ -30,13 +30,15 @@ def test_states_over_restarts(spark, tmp_path):
     assert first == {"a": "pending", "b": "failed", "c": "processing", "e": "completed"}
     put(spark, folder, [("a", "result", "batch_adverse", None, 1, "r1", None), ("a", "result", "batch_adverse", None, 1, "again", None), ("d", "submit", "x", 3, None, None, None), ("b", "result", "x", None, 0, "late", None)])
     assert {r.task_id: (r.status, r.n_results) for r in ran(spark, folder)} == {"a": ("processing", 1), "d": ("pending", 0)}
-    put(spark, folder, [("a", "result", "batch_adverse", None, 0, "r0", None), ("c", "submit", "x", 1, None, None, None), ("a", "submit", "other", 9, None, None, None)])
-    assert {r.task_id: (r.status, r.n_results) for r in ran(spark, folder)} == {"a": ("completed", 2), "c": ("completed", 1)}
+    put(spark, folder, [("a", "result", "batch_adverse", None, 0, "r0", None), ("c", "submit", "x", 1, None, None, None), ("a", "submit", "other", 9, None, None, None), ("f", "result", "x", None, 2, "r2", None)])
+    assert {r.task_id: (r.status, r.n_results) for r in ran(spark, folder)} == {"a": ("completed", 2), "c": ("completed", 1), "f": ("processing", 1)}
+    put(spark, folder, [("f", "submit", "x", 3, None, None, None)])
+    ran(spark, folder)
     state = {r.task_id: (r.status, r.n_texts, r.n_results, r.error) for r in T.current_tasks(spark, f"{folder}/cp").collect()}
-    assert state == {"a": ("completed", 2, 2, None), "b": ("failed", 1, 0, "unknown task type: guess"), "c": ("completed", 1, 1, None), "d": ("pending", 3, 0, None), "e": ("completed", 0, 0, None)}
+    assert state == {"a": ("completed", 2, 2, None), "b": ("failed", 1, 0, "unknown task type: guess"), "c": ("completed", 1, 1, None), "d": ("pending", 3, 0, None), "e": ("completed", 0, 0, None), "f": ("processing", 3, 1, None)}
     one = T.task_results(spark, f"{folder}/cp", spark.createDataFrame([("a",)], "task_id string"))
     assert sorted(map(tuple, one.collect())) == [("a", 0, "r0"), ("a", 1, "r1")]
-    assert {r.status: r["count"] for r in T.status_counts(T.current_tasks(spark, f"{folder}/cp")).collect()} == {"pending": 1, "processing": 0, "completed": 3, "failed": 1}
+    assert {r.status: r["count"] for r in T.status_counts(T.current_tasks(spark, f"{folder}/cp")).collect()} == {"pending": 1, "processing": 1, "completed": 3, "failed": 1}
 
 
 def test_results_age(spark, tmp_path):
