@@ -35,6 +35,8 @@ NGRAM, SLOTS, HASHES, LANGUAGES = 5, 1 << 21, 2, 32
 #: Training documents per language at most, and those an n-gram must be in.
 SAMPLE_DOCS, MIN_DOCS = 1000, 2
 UNKNOWN = "und"
+#: Bytes of text handled at once: an n-gram takes some fifty bytes while it is looked up.
+SLICE = 256 << 10
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
@@ -121,7 +123,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_do
 
     def slots_by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "_text"):
+            for part in text_slices(batch, "_text", SLICE):
                 h, doc = ngrams(part.column("_text"))
                 both = np.unique(np.stack([doc.astype(np.uint64), h], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
                 langs = part.column("_lang").take(pa.array(both[:, 0].astype(np.int64)))
@@ -148,7 +150,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in text_slices(batch, source):
+            for part in text_slices(batch, source, SLICE):
                 texts = part.column(source)
                 lang, score, share = m.predict(texts)
                 letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_pylist()
