@@ -153,22 +153,29 @@ def predict_links(edges: DataFrame, method: str = "adamic_adar", top_n: int = 50
     return out.select("item_a", "item_b", "score", F.lit(method).alias("method"))
 
 
-def walk_counts(edges: DataFrame, length: int) -> DataFrame:
-    """Number of walks of the given length between each ordered pair ``u, v`` (repeated join and sum)."""
-    sym = symmetric(_unweighted(edges)).select("u", "v")
-    walks = sym.withColumn("n", F.lit(1).cast("long"))
-    for _ in range(length - 1):
-        step = sym.select(F.col("u").alias("v"), F.col("v").alias("_next"))
-        walks = walks.join(step, "v").groupBy("u", F.col("_next").alias("v")).agg(F.sum("n").alias("n"))
-    return walks
+def walk_tables(edges: DataFrame, longest: int) -> list[DataFrame]:
+    """Number of walks between each ordered pair ``u, v``, a table (``u, v, n``) for each length from 2 to ``longest``.
+
+    Walks of two steps are common neighbours, which a hub's neighbour list gives block by block, and the degree for a node and itself. They
+    are stored and every further length is one product of the table before with the links, stored in turn.
+    """
+    base = cut_lineage(_unweighted(edges))
+    sym = symmetric(base).select("u", "v")
+    half = pairs_in_groups(sym, "u", "v").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
+    both = half.select(F.explode(F.array(F.struct(F.col("item_a").alias("u"), F.col("item_b").alias("v"), "n"), F.struct(F.col("item_b").alias("u"), F.col("item_a").alias("v"), "n"))).alias("e")).select("e.*")
+    tables = [cut_lineage(both.unionByName(_degree_table(sym).select(F.col("node").alias("u"), F.col("node").alias("v"), F.col("degree").alias("n"))))]
+    step = sym.select(F.col("u").alias("v"), F.col("v").alias("_next"))
+    for _ in range(longest - 2):
+        tables.append(cut_lineage(tables[-1].join(step, "v").groupBy("u", F.col("_next").alias("v")).agg(F.sum("n").alias("n"))))
+    return tables
 
 
 def katz(edges: DataFrame, beta: float = 0.001, max_path: int = 3) -> DataFrame:
     """Truncated Katz index of unlinked pairs with at least one walk: sum of beta^k times the walks of length k."""
     base = _unweighted(edges)
     total = None
-    for k in range(2, max_path + 1):  # walks of length 1 are links
-        part = walk_counts(edges, k).filter(F.col("u") < F.col("v")).select("u", "v", (F.col("n") * F.lit(beta**k)).alias("s"))
+    for k, walks in enumerate(walk_tables(edges, max(max_path, 2)), 2):  # walks of length 1 are links
+        part = walks.filter(F.col("u") < F.col("v")).select("u", "v", (F.col("n") * F.lit(beta**k)).alias("s"))
         total = part if total is None else total.unionByName(part)
     scored = total.groupBy(F.col("u").alias("item_a"), F.col("v").alias("item_b")).agg(F.sum("s").alias("score"))
     return scored.join(base.select(F.col("src").alias("item_a"), F.col("dst").alias("item_b")), ["item_a", "item_b"], "left_anti")

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.groups import pairs_in_groups
@@ -79,6 +81,22 @@ def known_risk_pairs(basket_items: DataFrame, pairs: DataFrame, words: RiskWords
         "basket_id", "item_a", "item_b", "risk_level", "interaction_type", "risk_score", F.lit(False).alias("inferred"), F.lit(1).alias("priority"))
 
 
+PAIR_DETAILS = ("mechanism", "evidence_level", "references")
+
+
+def with_pair_details(found: DataFrame, pairs: DataFrame, details: Sequence[str] = PAIR_DETAILS, words: RiskWords = RiskWords()) -> DataFrame:
+    """``found(item_a, item_b, ...)`` with what the knowledge table says of the pair beyond its score.
+
+    The details are those of the entry that gave the pair its score; pairs not in the table have nulls, as has a detail the table lacks.
+    """
+    level, evidence = map_get(literal_map(words.levels), "risk_level", 0.3), map_get(literal_map(words.evidence), "evidence_level", 0.3)
+    keyed = pairs.select(
+        F.least("herb_a", "herb_b").alias("item_a"), F.greatest("herb_a", "herb_b").alias("item_b"), F.round(level * evidence * 100, 2).alias("_score"), F.col("interaction_type").alias("_type"),
+        *[F.col(c) if c in pairs.columns else F.lit(None).cast("string").alias(c) for c in details])
+    best = first_per_key(keyed, ["item_a", "item_b"], [F.desc("_score"), F.asc("_type")]).drop("_score", "_type")
+    return found.join(best, ["item_a", "item_b"], "left")
+
+
 def _overlap_rules(kinds: DataFrame, toxic: DataFrame, words: RiskWords) -> DataFrame:
     """Two toxic items: risk .2 + .6 x the larger ``min(1, 10 / ld50)`` (ld50 missing or 0 counts as 100)."""
     ld50 = F.coalesce(F.when(F.col("ld50") != 0, F.col("ld50")), F.lit(100.0))
@@ -292,6 +310,11 @@ def profile_reactions(basket_items: DataFrame, reactions: DataFrame) -> DataFram
     return _items(basket_items).join(reactions, "item").groupBy("basket_id", "type", "severity").agg(F.count(F.lit(1)).alias("count"))
 
 
+def item_reactions(basket_items: DataFrame, reactions: DataFrame) -> DataFrame:
+    """Every known reaction of every item of a basket, with all that the table says of it (symptoms, frequency, onset)."""
+    return _items(basket_items).join(reactions, "item").select("basket_id", *reactions.columns)
+
+
 def risk_edges(found: DataFrame) -> DataFrame:
     """Best-scored risk per unordered item pair over all baskets (``herb_a, herb_b, risk_level, risk_score, interaction_type``)."""
     best = first_per_key(found, ["item_a", "item_b"], [F.desc("risk_score"), F.asc("risk_level"), F.asc("interaction_type")])

@@ -157,6 +157,22 @@ def aggregate_reactions(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return found.groupBy(*by, "reaction_type", "severity").agg(F.count(F.lit(1)).alias("count"))
 
 
+def reaction_totals(found: DataFrame, by: Sequence[str] = (), kind: str = "reaction_type", severity: str = "severity") -> DataFrame:
+    """Per key: ``total_reactions``, and ``severity_distribution`` and ``by_reaction_type`` as maps to counts.
+
+    Counts are combined map-side per key, type and severity; the maps hold as many entries as there are types.
+    """
+    counted = found.groupBy(*by, F.col(kind).alias("_t"), F.col(severity).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+
+    def folded(column: str) -> Column:
+        names = F.array_sort(F.collect_set(column))
+        rows = F.collect_list(F.struct(F.col(column).alias("k"), F.col("_c").alias("c")))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.aggregate(F.filter(rows, lambda r: r["k"] == n), F.lit(0).cast("long"), lambda a, r: a + r["c"])))
+
+    out = counted.groupBy(*by).agg(F.sum("_c").alias("total_reactions"), folded("_s").alias("severity_distribution"), folded("_t").alias("by_reaction_type"))
+    return out.select(*by, F.coalesce("total_reactions", F.lit(0)).alias("total_reactions"), "severity_distribution", "by_reaction_type")
+
+
 #: Upper bounds of the grades 0..3 on the score scale -1..1.
 GRADE_CUTS = (-0.3, 0.2, 0.55, 0.80)
 

@@ -194,6 +194,24 @@ def risk_guidance(t: Tables) -> DataFrame:
     return out.withColumn("guidance", F.array_join("guidance", "; "))
 
 
+@query("risk_pair_details", with_ctes(*DETECTED, body=(
+    "SELECT basket_id, item_a, item_b, r.risk_level, r.risk_score, evidence_level, split_part(herb_a, ' ', 1) || ' on ' || split_part(herb_b, ' ', 2) AS mechanism, 'ref ' || length(herb_a) || ', ref ' || length(herb_b) AS refs "
+    "FROM r_known r JOIN pairs ON herb_a = item_a AND herb_b = item_b")))
+def risk_pair_details(t: Tables) -> DataFrame:
+    pairs = Knowledge(t).pairs.withColumns({
+        "mechanism": F.concat(F.split_part("herb_a", F.lit(" "), F.lit(1)), F.lit(" on "), F.split_part("herb_b", F.lit(" "), F.lit(2))),
+        "references": F.array(*[F.concat(F.lit("ref "), F.length(c).cast("string")) for c in ("herb_a", "herb_b")])})
+    found = R.with_pair_details(R.known_risk_pairs(Bd.basket_items(t), pairs), pairs)
+    return found.select("basket_id", "item_a", "item_b", "risk_level", "risk_score", "evidence_level", "mechanism", F.array_join("references", ", ").alias("refs"))
+
+
+@query("basket_item_reactions", with_ctes(*KNOWLEDGE, body=(
+    "SELECT basket_id, reactions.item, type, severity, array_to_string(string_split(type, ' '), ', ') AS symptoms, length(type) % 10 / 10.0::DOUBLE AS frequency, length(reactions.item)::DOUBLE AS onset_hours FROM bi JOIN reactions ON reactions.item = bi.item")))
+def basket_item_reactions(t: Tables) -> DataFrame:
+    known = Knowledge(t).reactions.withColumns({"symptoms": F.split("type", " "), "frequency": F.length("type") % 10 / F.lit(10.0), "onset_hours": F.length("item").cast("double")})
+    return R.item_reactions(Bd.basket_items(t), known).withColumn("symptoms", F.array_join("symptoms", ", "))
+
+
 @query("basket_reactions", with_ctes(*KNOWLEDGE, body="SELECT basket_id, type, severity, count(*) AS count FROM bi JOIN reactions ON reactions.item = bi.item GROUP BY 1, 2, 3"))
 def basket_reactions(t: Tables) -> DataFrame:
     return R.profile_reactions(Bd.basket_items(t), Knowledge(t).reactions)

@@ -146,6 +146,17 @@ def aggregate_reactions(t: Tables) -> DataFrame:
     return X.aggregate_reactions(_found(t), ["source"])
 
 
+@query("reaction_totals", with_ctes(FOUND, body=(
+    "SELECT s.source, CAST(sum(c) AS BIGINT) AS total_reactions, string_agg(severity || ':' || c, ';' ORDER BY severity) AS severities, any_value(k.kinds) AS kinds FROM "
+    "(SELECT source, severity, count(*) AS c FROM found GROUP BY 1, 2) s JOIN (SELECT source, string_agg(reaction_type || ':' || c, ';' ORDER BY reaction_type) AS kinds FROM "
+    "(SELECT source, reaction_type, count(*) AS c FROM found GROUP BY 1, 2) GROUP BY 1) k ON k.source = s.source GROUP BY s.source")))
+def reaction_totals(t: Tables) -> DataFrame:
+    def said(column: str):
+        return F.array_join(F.transform(F.array_sort(F.map_keys(column)), lambda k: F.concat(k, F.lit(":"), F.element_at(column, k).cast("string"))), ";")
+
+    return X.reaction_totals(_found(t), ["source"]).select("source", "total_reactions", said("severity_distribution").alias("severities"), said("by_reaction_type").alias("kinds"))
+
+
 @query("ordinal_grades", with_ctes(*GRADED, body="SELECT doc_id, grade, score FROM g1"))
 def ordinal_grades(t: Tables) -> DataFrame:
     scored = t.documents.select("doc_id", F.round(X.lexicon_sentiment("text", LEXICON), 4).alias("s"), X.extract_days("text", LEXICON.time_patterns).alias("d"))
