@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.groups import small_side
+from ..functions.lineage import cut_lineage
 from ..functions.scalars import as_col, conjunction, once
 
 
@@ -69,6 +71,27 @@ def text_search(df: DataFrame, query: str, weights: dict[str, float], key: str,
     return out.orderBy(F.desc("score"), F.desc(sort_by), F.asc(key))
 
 
+def search_many(df: DataFrame, queries: DataFrame, weights: dict[str, float], key: str, sort_by: str, top_k: int = 20) -> DataFrame:
+    """:func:`text_search` for all strings of ``queries(query_id, query)`` at once: ``query_id, <key>, score, rank``, the first ``top_k`` of each.
+
+    The documents are read once. Their tokens are kept only where some query asks for them and counted per document, weighted by field;
+    these postings meet the queries' tokens by equality. A repeated token of a query counts once; ranks go by score, then
+    ``sort_by`` (largest first), then the key; null texts hold no token, and a query without a token finds nothing.
+    """
+    def tokens(text):
+        return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+    asked = cut_lineage(queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("token")).distinct())
+    wanted = cut_lineage(asked.select("token").distinct())
+    types = dict(df.dtypes)
+    fields = [F.struct(F.lit(float(w)).alias("weight"), tokens(F.concat_ws(" ", c) if types[c].startswith("array") else F.col(c).cast("string")).alias("tokens")) for c, w in weights.items()]
+    rows = df.select(F.col(key).alias("_key"), F.col(sort_by).alias("_sort"), F.inline(F.array(*fields))).select("_key", "_sort", "weight", F.explode("tokens").alias("token"))
+    postings = rows.join(small_side(wanted.count(), wanted), "token", "left_semi").groupBy("_key", "_sort", "token").agg(F.sum("weight").alias("score"))
+    found = postings.join(asked, "token").groupBy("query_id", "_key", "_sort").agg(F.sum("score").alias("score"))
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("_sort"), F.asc("_key"))
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_k).select("query_id", F.col("_key").alias(key), "score", "rank")
+
+
 def lookup(df: DataFrame, column: str, value) -> DataFrame:
     """Row with the given key; an empty result means "not found"."""
     return df.filter(F.col(column) == value).limit(1)

@@ -130,6 +130,17 @@ def document_search(t: Tables) -> DataFrame:
     return R.text_search(t.documents, "the les und", {"text": 2}, "doc_id", "n_chars").select("doc_id", "score")
 
 
+@query("search_many", (
+    "WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS token FROM benchmark), "
+    "p AS (SELECT doc_id, n_chars, token, count(*) AS c FROM (SELECT doc_id, n_chars, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS token FROM documents) WHERE token IN (SELECT token FROM q) GROUP BY ALL), "
+    "s AS (SELECT query_id, doc_id, n_chars, CAST(2 * sum(c) AS DOUBLE) AS score FROM p JOIN q ON q.token = p.token GROUP BY ALL) "
+    "SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_chars DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20"))
+def search_many(t: Tables) -> DataFrame:
+    """The first three words of every benchmark item, each as a search string of its own."""
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
+    return R.search_many(t.documents, queries, {"text": 2}, "doc_id", "n_chars", 20)
+
+
 @query("lookup_by_key", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 77")
 def lookup_by_key(t: Tables) -> DataFrame:
     return R.lookup(t.orders, "o_orderkey", 77).select("o_orderkey", "o_totalprice")

@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 from check_queries import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = ["pair_stats", "association_rules", "subgraph_from_item", "links_with_targets", "detected_risk_pairs", "evaluate_texts", "meta_loo", "dose_knots", "dose_observations", "stream_changed_pairs"]
+SAMPLE = ["pair_stats", "association_rules", "subgraph_from_item", "links_with_targets", "detected_risk_pairs", "evaluate_texts", "meta_loo", "dose_knots", "dose_observations", "stream_changed_pairs",
+          "stream_task_states", "top_links_adamic_adar", "search_many", "reaction_totals", "risk_pair_details", "basket_item_reactions", "links_katz"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("CHECK_ALL") else SAMPLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
