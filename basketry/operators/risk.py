@@ -152,7 +152,7 @@ FOUND = ["basket_id", "item_a", "item_b", "risk_level", "interaction_type", "ris
 
 
 def toxic_overlap_pairs(basket_items: DataFrame, toxic: DataFrame, words: RiskWords = RiskWords()) -> DataFrame:
-    """Two toxic items in one basket."""
+    """Two toxic items in one basket, pairs of the knowledge table included; :func:`detect_risk_pairs` keeps the known rule for those."""
     met = _pairs_among(_items(basket_items), toxic)
     return met.join(_overlap_rules(met.select("item_a", "item_b").distinct(), toxic, words), ["item_a", "item_b"]).select(*FOUND)
 
