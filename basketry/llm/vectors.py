@@ -8,7 +8,7 @@
    at most ``LOSS`` of such pairs.
 3. Blocks. A label is cut into blocks of at most ``BLOCK`` nodes (as many as its size needs), and each pair of blocks is
    its own task: a hot label is more tasks, not a longer one. In a task every projection of the block is sorted, the
-   window of each query is a range of that order, and collisions are counted per pair by adding ranges.
+   window of each query is a range of ranks of that order, and collisions are counted per pair by testing ranks.
    Only pairs that pass the count are verified, by cosine in double precision. What leaves the task is a row per node: how
    many vectors it links with here, and the smallest node it is joined to; never the links themselves.
 4. Counts are added up over the tasks, and components are found over the nodes' joins.
@@ -31,6 +31,8 @@ from .components import components
 #: Lines, half-width of the window in standard deviations of the difference at the threshold, pairs at the threshold lost at most.
 LINES, WIDTH, LOSS = 64, 1.0, 1e-6
 THRESHOLD, BLOCK, SEED = 0.93, 1024, 11
+#: Queries whose collisions are counted together.
+QUERIES = 64
 
 
 def least_collisions(lines: int = LINES, width: float = WIDTH, loss: float = LOSS) -> int:
@@ -53,17 +55,19 @@ def colliding(query: np.ndarray, base: np.ndarray, half: float, least: int) -> t
     """Pairs (query, base) with at least ``least`` window collisions, from their projections (rows x lines)."""
     n, m = len(query), len(base)
     count = np.zeros((n, m), np.uint8)
+    ranks, low, span = np.empty((query.shape[1], m), np.uint16), np.empty(query.T.shape, np.uint16), np.empty(query.T.shape, np.uint16)
     for line in range(query.shape[1]):
         order = np.argsort(base[:, line])
         values = base[order, line]
-        low = np.searchsorted(values, query[:, line] - half, side="left")
-        high = np.searchsorted(values, query[:, line] + half, side="right")
-        # a query's window is a range of the sorted line: +1 where it opens, -1 where it closes, summed up
-        marks = np.zeros((n, m + 1), np.int8)
-        rows = np.arange(n)
-        marks[rows, low] += 1
-        marks[rows, high] -= 1
-        count[:, order] += np.cumsum(marks[:, :m], axis=1, dtype=np.int8).view(np.uint8)
+        ranks[line, order] = np.arange(m)
+        low[line] = np.searchsorted(values, query[:, line] - half, side="left")
+        span[line] = np.searchsorted(values, query[:, line] + half, side="right") - low[line]
+    # a query's window is a range of the sorted line: a rank is inside if, counted from where the window opens, it is below the
+    # window's length (what lies before wraps round to large numbers). A few queries at once keep the arrays in cache.
+    for k in range(0, n, QUERIES):
+        part = count[k:k + QUERIES]
+        for line in range(query.shape[1]):
+            part += (ranks[line] - low[line, k:k + QUERIES, None] < span[line, k:k + QUERIES, None]).view(np.uint8)
     return np.nonzero(count >= least)
 
 
