@@ -4,8 +4,8 @@
    ``ln(1 + M / m)`` for a shingle found in m of the M items (a phrase of many items says little about one).
 2. Fingerprints: each item with n words has a 64-bit SimHash of its weighted shingles. A window of a document is n
    words, for each length n that an item has, and is fingerprinted alike, a shingle outside the benchmark weighing
-   ``ln(1 + M)``. Windows without a single shingle of the benchmark have similarity 0 with every item; they are left out
-   before anything is fingerprinted, which loses nothing.
+   ``ln(1 + M)``, no less than any other. So a window of which less than the threshold's share of shingles is in the benchmark
+   is below the threshold with every item; it is left out before anything is fingerprinted, which loses nothing.
 3. Candidates: fingerprints are cut into ``RADIUS + 1`` blocks. Two that differ in at most ``RADIUS`` bits agree in one block
    at least (pigeonhole), so an equi-join on (length, block, value) finds every window within the radius of an item.
 4. Verification: exact weighted Jaccard similarity of the window's and the item's shingle counts.
@@ -95,11 +95,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     table = cut_lineage(of_items.groupBy("h").agg(F.log1p(F.lit(n_items) / F.count_distinct("item_id")).alias("weight"), F.collect_set("n_words").alias("lengths")))
     small = F.broadcast if table.count() <= BROADCAST_ROWS else (lambda df: df)
 
-    # where documents hold a shingle of an item, and how long that item is
+    # where documents hold a shingle of an item, and how long such items are
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("_text"))
     hashed = with_shingles(rows, F.col("_text")).select("doc_id", "row", F.posexplode("hs").alias("at", "h"))
-    hits = hashed.join(small(table), "h").select("doc_id", "row", "at", F.explode("lengths").alias("n_words"))
-    hits = cut_lineage(hits.groupBy("doc_id", "row", "n_words").agg(F.collect_set("at").alias("ats")))
+    hits = hashed.join(small(table), "h").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set("lengths"))).alias("lengths"))
+    hits = cut_lineage(hits)
 
     # item-sized windows over those places
     held = hits.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct()
@@ -108,9 +108,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     found = cut_lineage(found).withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
     size = F.col("n_words") - (WIDTH - 1)
     last = F.greatest(F.size("hs") - size, F.lit(0))
-    begins = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(F.greatest(a - size + 1, F.lit(0)), F.least(a, last)))))
     window = ["doc_id", "row", "n_words", "position"]
-    windows = hits.join(found, same).select("doc_id", "row", "n_words", "hs", F.explode(begins).alias("position"))
+    windows = hits.select("doc_id", "row", "ats", F.explode("lengths").alias("n_words")).join(found, same)
+    # windows that hold ``least`` places or more: those between the end of such a run of places and its begin
+    windows = windows.withColumn("least", F.ceil(F.least(size, F.size("hs")) * F.lit(threshold) - 1e-9).cast("int")).filter(F.size("ats") >= F.col("least"))
+    runs = F.filter(F.sequence(F.lit(0), F.size("ats") - F.col("least")), lambda i: F.get("ats", i + F.col("least") - 1) - F.get("ats", i) < size)
+    begins = F.transform(runs, lambda i: F.sequence(F.greatest(F.get("ats", i + F.col("least") - 1) - size + 1, F.lit(0)), F.least(F.get("ats", i), last)))
+    windows = windows.select("doc_id", "row", "n_words", "hs", F.explode(F.array_distinct(F.flatten(begins))).alias("position"))
     windows = windows.select(*window, F.explode(F.slice("hs", F.col("position") + 1, size)).alias("h"))
     weighed = windows.join(small(table.select("h", "weight")), "h", "left").select(*window, "h", F.coalesce("weight", rare).alias("weight"))
     prints = fingerprints(weighed, window)
