@@ -14,6 +14,9 @@
    shingles. Neither a group of copies nor the users of a common passage are paired out, and no link between
    two groups is lost.
 4. Verification by the exact weighted Jaccard similarity of the whole texts, then connected components.
+5. Hot groups. Where edited copies are a large share of all rows, what they share is common and weighs less than their edits.
+   So two documents are alike as well if their similarity by flat weights (as if no shingle was common) reaches the threshold;
+   documents that hold a common shingle are drawn once more by flat weights, into the same buckets.
 
 Recall of a pair at similarity s is ``1 - (1 - s**ROWS)**BANDS``: 0.998 at 0.8, 0.9999 at 0.86.
 
@@ -134,6 +137,15 @@ class Weights:
             idf = np.where(self.keys[at] == h, self.idf[at], idf)
         return tf * idf
 
+    def flat(self, tf: np.ndarray) -> np.ndarray:
+        """What shingles weigh if none is common."""
+        return tf * self.rare
+
+    def common(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(h), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)] == h
+
 
 def signatures(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """Improved consistent weighted samples: ``n x (ROWS * BANDS)``, of documents with a shingle."""
@@ -175,28 +187,42 @@ def sampled(docs: DataFrame, weights: Weights, doc_id: str, text: str) -> DataFr
         for batch in batches:
             for part in text_slices(batch, "_text", SAMPLE_BYTES):
                 h, doc, tf = weighted_shingles(part.column("_text"))
-                keys = band_keys(signatures(h, doc, sent.value(h, tf), part.num_rows)).view(np.int64)
-                has = pa.array(np.unique(doc))
-                buckets = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(has), part.column("copy").take(has), buckets.take(has)], names=["doc_id", "copy", "buckets"])
+                weights = sent.value
+                keys = band_keys(signatures(h, doc, weights(h, tf), part.num_rows)).view(np.int64)
+                has = np.unique(doc)
+                # documents with a common shingle are drawn by flat weights as well; for all others that is the same
+                twice = np.zeros(part.num_rows, bool)
+                twice[doc[weights.common(h)]] = True
+                ends = np.cumsum(BANDS * (1 + twice[has]))
+                buckets = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+                buckets[(ends - BANDS * (1 + twice[has]))[:, None] + np.arange(BANDS)] = keys[has]
+                if twice.any():
+                    at = twice[doc]
+                    flat = band_keys(signatures(h[at], (np.cumsum(twice) - 1)[doc[at]], weights.flat(tf[at]), int(twice.sum()))).view(np.int64)
+                    buckets[(ends[twice[has]] - BANDS)[:, None] + np.arange(BANDS)] = flat
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(buckets))
+                has = pa.array(has)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(has), part.column("copy").take(has), lists], names=["doc_id", "copy", "buckets"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("copy"), F.col(text).alias("_text")).filter("doc_id is not null")
     return rows.mapInArrow(run, "doc_id bigint, copy binary, buckets array<bigint>")
 
 
 def similarities(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
-    """Weighted Jaccard similarity of the texts of each row."""
+    """Weighted Jaccard similarity of the texts of each row, or by flat weights if that is larger."""
     n = len(a)
     ha, ra, ta = weighted_shingles(a)
     hb, rb, tb = weighted_shingles(b)
-    wa, wb = weights(ha, ta), weights(hb, tb)
-    h, row, w = np.concatenate([ha, hb]), np.concatenate([ra, rb]), np.concatenate([wa, wb])
+    h, row, tf = np.concatenate([ha, hb]), np.concatenate([ra, rb]), np.concatenate([ta, tb])
     order = np.lexsort((h, row))
-    h, row, w = h[order], row[order], w[order]
+    h, row, tf = h[order], row[order], tf[order]
     same = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))
-    shared = np.bincount(row[same], weights=np.minimum(w[same], w[same + 1]), minlength=n)
-    total = np.bincount(row, weights=w, minlength=n) - shared
-    return np.where(total > 0, shared / np.where(total > 0, total, 1), 0.0)
+    out = np.zeros(n)
+    for w in (weights(h, tf), weights.flat(tf)):
+        shared = np.bincount(row[same], weights=np.minimum(w[same], w[same + 1]), minlength=n)
+        total = np.bincount(row, weights=w, minlength=n) - shared
+        out = np.maximum(out, np.where(total > 0, shared / np.where(total > 0, total, 1), 0.0))
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
@@ -262,17 +288,22 @@ def _across(placed: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
                 h, doc, tf = weighted_shingles(part.column("_text"))
                 if len(h):
                     a, b = _cells(h)
-                    at, rest, whole = prefixes(h, doc, weigh(h, tf), np.minimum(cells[0, a], cells[1, b]), threshold)
+                    rarity = np.minimum(cells[0, a], cells[1, b])
+                    by_idf, rest, whole = prefixes(h, doc, weigh(h, tf), rarity, threshold)
+                    by_count, rest_flat, whole_flat = prefixes(h, doc, weigh.flat(tf), rarity, threshold)
+                    at = by_idf | by_count
                     who = pa.array(doc[at])
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("g").take(who), pa.array(h[at].view(np.int64)), pa.array(rest[at]), pa.array(whole[at])],
-                                                     names=["doc", "g", "token", "rest", "whole"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("g").take(who), pa.array(h[at].view(np.int64)), *(pa.array(x[at]) for x in (rest, whole, rest_flat, whole_flat))],
+                                                     names=["doc", "g", "token", "rest", "whole", "rest_flat", "whole_flat"])
 
-    tokens = rows.mapInArrow(run, "doc bigint, g bigint, token bigint, rest double, whole double")
+    tokens = rows.mapInArrow(run, "doc bigint, g bigint, token bigint, rest double, whole double, rest_flat double, whole_flat double")
     shared = tokens.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 < g1").select("token")
     left = cut_lineage(tokens.join(shared, "token", "left_semi"))
-    right = left.select("token", F.col("doc").alias("doc2"), F.col("g").alias("g2"), F.col("rest").alias("rest2"), F.col("whole").alias("whole2"))
-    # from the rarest shared shingle on, both must hold what two documents of that similarity share
-    enough = F.least("rest", "rest2") * (1 + threshold) >= threshold * (1 - 1e-9) * (F.col("whole") + F.col("whole2"))
+    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in left.columns if c != "token"))
+    # from the rarest shared shingle on, both must hold what two documents of that similarity share, by either weights
+    enough = F.lit(False)
+    for rest, whole in (("rest", "whole"), ("rest_flat", "whole_flat")):
+        enough |= F.least(rest, f"{rest}2") * (1 + threshold) >= threshold * (1 - 1e-9) * (F.col(whole) + F.col(f"{whole}2"))
     return left.join(right, "token").filter((F.col("g") < F.col("g2")) & enough).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 

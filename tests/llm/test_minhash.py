@@ -31,7 +31,8 @@ def brute(texts):
         for j in {j for x in c for j in held[x] if j < k}:
             low = sum(min(n, sets[j][x]) * idf[x] for x, n in c.items())
             high = sum(n * idf[x] for x, n in (c | sets[j]).items())
-            if low / high >= minhash.THRESHOLD:
+            flat = sum((c & sets[j]).values()) / sum((c | sets[j]).values())
+            if max(low / high, flat) >= minhash.THRESHOLD:
                 a, b = root(k), root(j)
                 parent[max(a, b)] = min(a, b)
     return {k: root(k) for k in texts}
@@ -57,6 +58,17 @@ def test_chains_and_defined_cases(docs):
     assert [r.class_id for r in minhash.near_duplicates(docs(["a b c", "a b c", "d e f"], [5, 5, None])).collect()] == [5]
 
 
+def test_edited_copies_in_a_third_of_all_rows(docs):
+    r = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(80)]
+    copies = [" ".join(base[:k] + [f"edit{n}"] + base[k + 1:]) for n, k in enumerate(r.integers(0, 80, 100))]
+    others = [" ".join(f"x{k}" for k in r.integers(0, 5000, 80)) for _ in range(200)]
+    texts = dict(enumerate(copies + others))
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs(list(texts.values()))).collect()}
+    assert got == brute(texts)
+    assert {got[k] for k in range(100)} == {0} and all(got[k] == k for k in range(100, 300))
+
+
 def test_samples_agree_as_often_as_weights_do():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 2**63, 400).astype(np.uint64)
