@@ -1,7 +1,7 @@
 """Token ids in binary blocks: canonical length-limited Huffman codes from global counts.
 
-1. ``encode_ids``: every text to ids, one pass without a shuffle, stored as one blob a document.
-2. ``count_ids``: how often each id occurs in the whole corpus. The result has one row per id, so its size is bounded by
+1. ``encode_ids``: every text to ids, one pass without a shuffle, stored as one blob a document, and a row of counts a task.
+2. ``count_ids``: how often each id occurs in the whole corpus, added up over the tasks. The result has one row per id, so its size is bounded by
    the vocabulary, and the code lengths are made from it on the driver (package-merge, at most ``MAX_BITS`` bits).
 3. ``write``: the blobs are range-partitioned by document and cut into independent blocks of whole documents.
 4. ``read``: every block is decoded by itself with one table of ``2**longest`` entries. A block has a checkpoint (bit
@@ -59,13 +59,23 @@ def _memory(path: str) -> Memory:
     gc.freeze()
     gc.disable()
 
-    # blank and letters are one piece for a byte-level splitter, which the model can take without the machinery around it
-    tokenize, alphabet = tokenizer.model.tokenize, dict(enumerate(_byte_alphabet()))
+    # A blank and letters are one piece for a byte-level splitter, and only the first token of such a piece begins with the blank.
+    # So many of them are encoded as one text and cut before those tokens.
+    blank = _byte_alphabet()[ord(" ")]
+    begins = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    begins[[k for t, k in tokenizer.get_vocab().items() if t.startswith(blank)]] = True
+
+    def encode_words(words: list[str]) -> Iterator[bytes]:
+        texts = ["".join(words[a:a + 1000]) for a in range(0, len(words), 1000)]
+        for a in range(0, len(texts), 20):
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts[a:a + 20], add_special_tokens=False)])
+            data, cuts = ids.tobytes(), [*(4 * np.flatnonzero(begins[ids])).tolist(), 4 * len(ids)]
+            yield from [data[b:e] for b, e in zip(cuts, cuts[1:])]
 
     def encode(texts: list[str]) -> list[bytes]:
-        letters = [t.isalpha() or t[:1] == " " and t[1:].isalpha() for t in texts]
-        rest = iter(encode_whole([t for t, one in zip(texts, letters) if not one]))
-        return [array("I", [x.id for x in tokenize(t.encode().decode("latin-1").translate(alphabet))]).tobytes() if one else next(rest) for t, one in zip(texts, letters)]
+        words = [t[:1] == " " and t[1:].isalpha() for t in texts]
+        of_words, rest = encode_words([t for t, one in zip(texts, words) if one]), iter(encode_whole([t for t, one in zip(texts, words) if not one]))
+        return [next(of_words) if one else next(rest) for one in words]
 
     def encode_whole(texts: list[str]) -> list[bytes]:
         out = []
@@ -83,22 +93,28 @@ def _memory(path: str) -> Memory:
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int | None = None, text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers, zlib-packed by byte plane) of every whole text.
+    """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers, zlib-packed by byte plane) of every whole text, and ``counts``.
 
     The tokenizer's pre-splitting is that of byte-level BPE, which begins a new piece at every blank or line feed
     between two non-blanks; the cuts between them are encoded once per task and looked up afterwards.
+    ``counts`` is null in the rows of documents; the last row of each task has nothing else: how often the task has seen each id, 64-bit integers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _memory(path)
+        memory, names = _memory(path), ["doc_id", "n_tokens", "ids", "counts"]
         tail = np.array([] if end_id is None else [end_id], np.uint32)
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for part in text_slices(batch, "_text"):
                 ids = [np.concatenate([x, tail]) for x in memory.ids_of([t or "" for t in part.column("_text").to_pylist()])]
+                seen = np.bincount(np.concatenate(ids), minlength=len(total))
+                seen[:len(total)] += total
+                total = seen
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                    [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, counts binary")
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -113,21 +129,16 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def count_ids(encoded: DataFrame) -> DataFrame:
-    """``id, n`` over all documents. Each task sends one row per id it has seen."""
+    """``id, n`` over all documents, from the counts of the tasks that encoded them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in text_slices(batch, "ids"):
-                ids = np.concatenate([unpack(blob) for blob in part.column("ids").to_pylist()])
-                if len(ids):
-                    if (top := int(ids.max())) >= len(total):
-                        total = np.append(total, np.zeros(top + 1 - len(total), np.int64))
-                    total[:top + 1] += np.bincount(ids, minlength=top + 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], names=["id", "n"])
+            for blob in batch.column("counts").to_pylist():
+                n = np.frombuffer(blob, "<i8")
+                seen = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n[seen])], names=["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.filter("counts is not null").select("counts").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -255,7 +266,7 @@ def write(encoded: DataFrame, folder: str, partitions: int | None = None) -> Non
         if held:
             yield close()
 
-    rows = encoded.select("doc_id", "ids")
+    rows = encoded.filter("counts is null").select("doc_id", "ids")
     ranged = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
     ranged.sortWithinPartitions("doc_id").mapInArrow(run, BLOCKS).write.parquet(f"{folder}/blocks")
 
