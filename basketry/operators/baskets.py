@@ -16,6 +16,10 @@ from ..functions.scalars import safe_div
 from .rows import top_k_per_group
 
 
+#: Baskets whose membership is one row of bits; a multiple of 64 that divides 2^33.
+SLICE = 4096
+
+
 def co_occurrence(basket_items: DataFrame, basket_weights: DataFrame | None = None, weight: str = "frequency", min_count: int = 1) -> DataFrame:
     """Unordered item pairs that share baskets: ``item_a < item_b, count, weight`` (sum of the basket weight).
 
@@ -67,13 +71,83 @@ def _min_count(min_support: float, n: int) -> int:
     return k
 
 
-def frequent_itemsets(basket_items: DataFrame, min_support: float = 0.05, max_length: int = 3, method: str = "levelwise") -> DataFrame:
+def _vertical(baskets: DataFrame) -> DataFrame:
+    """Which baskets hold an item, as bits: ``slice, prefix, last, words, times`` per slice of ``SLICE`` baskets and item.
+
+    A multiplicity is written in binary: a merged basket has a place for each of its bits, and a slice holds places of one bit only, each
+    worth ``times`` baskets. Places follow the order of a stored table, so they are settled once. A row has a bounded size, and a
+    slice has at most one row per frequent item, however long its baskets are.
+    """
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.getbit(F.col("multiplicity"), b) == 1)).alias("_bit")
+    placed = cut_lineage(baskets.select("items", bit).sortWithinPartitions("_bit").withColumn("_at", F.monotonically_increasing_id()))
+    # the id counts from 0 in each partition, whose number is in the bits from 33 upwards; SLICE divides 2^33
+    place = F.pmod("_at", F.lit(SLICE))
+    flat = placed.select(F.struct(F.floor(F.col("_at") / SLICE).alias("number"), "_bit").alias("slice"), place.alias("_p"), F.explode("items").alias("last"))
+    word = flat.groupBy("slice", "last", F.floor(F.col("_p") / 64).cast("int").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_p % 64 AS INT))")).alias("_v"))
+    rows = word.groupBy("slice", "last").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_v"))).alias("_m"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(SLICE // 64 - 1)), lambda w: F.coalesce(F.try_element_at("_m", w), F.lit(0).cast("long")))
+    nothing = F.slice(F.array("last"), 1, 0)  # an empty array of the items' type
+    return rows.select("slice", nothing.alias("prefix"), "last", words.alias("words"), F.expr("shiftleft(1L, slice._bit)").alias("times"))
+
+
+def _intersections(sets: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """Sets one item longer, from two that differ in the last item only: ``slice, itemset, words, times``; only ``wanted`` itemsets."""
+    right = sets.select("slice", "prefix", F.col("last").alias("_last"), F.col("words").alias("_words"))
+    both = sets.join(right, ["slice", "prefix"]).filter(F.col("last") < F.col("_last"))
+    both = both.withColumn("itemset", F.concat("prefix", F.array("last", "_last")))
+    if wanted is not None:
+        both = both.join(wanted, "itemset", "left_semi")
+    return both.select("slice", "itemset", F.zip_with("words", "_words", lambda x, y: x.bitwiseAND(y)).alias("words"), "times")
+
+
+def _candidates(found: DataFrame, size: int) -> DataFrame:
+    """Itemsets of ``size`` items (3 or more) of which every subset one item shorter is in ``found``: ``itemset``."""
+    parts = found.select(F.slice("itemset", 1, size - 2).alias("prefix"), F.element_at("itemset", -1).alias("last"))
+    pairs = parts.join(parts.withColumnRenamed("last", "_last"), "prefix").filter(F.col("last") < F.col("_last"))
+    pairs = pairs.select(F.concat("prefix", F.array("last", "_last")).alias("itemset"))
+    # the two it is made of are found; the others leave out an item of the prefix
+    subsets = F.transform(F.sequence(F.lit(0), F.lit(size - 3)), lambda k: F.filter("itemset", lambda _, i: i != k))
+    known = pairs.select("itemset", F.explode(subsets).alias("_sub")).join(found.select(F.col("itemset").alias("_sub")), "_sub", "left_semi")
+    return known.groupBy("itemset").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == size - 2).select("itemset")
+
+
+def _vertical_levels(baskets: DataFrame, threshold: int, max_length: int | None) -> list[DataFrame]:
+    """Frequent itemsets of two items and more, a stored table per size, until a size has none.
+
+    A level is counted from the intersections without storing them (a number per itemset and task is shuffled); those of the
+    frequent itemsets are then taken once more and stored for the next level, so sets that fail are never written.
+    """
+    sets, wanted, levels = cut_lineage(_vertical(baskets)), None, []
+    while max_length is None or len(levels) + 2 <= max_length:
+        held = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w)) * F.col("times")
+        counted = _intersections(sets, wanted).groupBy("itemset").agg(F.sum(held).alias("count"))
+        found = cut_lineage(counted.filter(F.col("count") >= threshold))
+        n = found.count()
+        if n == 0:
+            break
+        levels.append(found)
+        size = len(levels) + 2
+        if max_length is not None and size > max_length:
+            break
+        wanted = cut_lineage(_candidates(found, size))
+        n_wanted = wanted.count()
+        if n_wanted == 0:
+            break
+        wanted = small_side(n_wanted, wanted)
+        grown = _intersections(sets, small_side(n, found.select("itemset"))).filter(F.exists("words", lambda w: w != 0))
+        sets = cut_lineage(grown.select("slice", F.slice("itemset", 1, size - 2).alias("prefix"), F.element_at("itemset", -1).alias("last"), "words", "times"))
+    return levels
+
+
+def frequent_itemsets(basket_items: DataFrame, min_support: float = 0.05, max_length: int | None = 3, method: str = "levelwise") -> DataFrame:
     """Itemsets with support >= min_support and at most ``max_length`` items: ``itemset, size, count, support``.
 
-    ``levelwise`` grows itemsets by one item per level, only from frequent prefixes; ``fpgrowth`` uses MLlib.
-    Both read the merged baskets, so the raw table is scanned three times whatever the number of levels.
+    ``levelwise`` grows itemsets by one item per level, only from frequent prefixes; ``fpgrowth`` uses MLlib; ``vertical`` keeps the baskets
+    of an itemset as bits and intersects them, for candidates whose every subset is frequent, so a long basket costs bits instead
+    of all its combinations. Only ``vertical`` takes ``max_length=None`` (any size).
+    All read the merged baskets, so the raw table is scanned three times whatever the number of levels.
     """
-    if method not in ("levelwise", "fpgrowth"):
+    if method not in ("levelwise", "fpgrowth", "vertical") or (max_length is None and method != "vertical"):
         raise ValueError(f"unknown method: {method}")
     counts, baskets, n = frequent_baskets(basket_items, min_support)
     threshold = _min_count(min_support, n)
@@ -84,6 +158,11 @@ def frequent_itemsets(basket_items: DataFrame, min_support: float = 0.05, max_le
         # supports are relative to baskets with a frequent item, so the exact count decides
         out = model.freqItemsets.select(F.sort_array("items").alias("itemset"), F.col("freq").alias("count"))
         out = out.filter((F.col("count") >= threshold) & (F.size("itemset") <= max_length))
+    elif method == "vertical":
+        out = counts.select(F.array("item").alias("itemset"), "count")
+        if max_length is None or max_length > 1:
+            for found in _vertical_levels(baskets, threshold, max_length):
+                out = out.unionByName(found)
     else:
         out = counts.select(F.array("item").alias("itemset"), "count")
         grown = baskets.select("items", "multiplicity", F.explode("items").alias("_i")).select("items", "multiplicity", F.array("_i").alias("itemset"))

@@ -72,6 +72,11 @@ def frequent_itemsets(t: Tables) -> DataFrame:
     return _flat(B.frequent_itemsets(Bd.basket_brands(t), SUPPORT, 3))
 
 
+@query("frequent_itemsets_vertical", with_ctes(*_frequent(), body="SELECT s AS itemset, size, c AS count, round(c / n, 6) AS support FROM f CROSS JOIN n"))
+def frequent_itemsets_vertical(t: Tables) -> DataFrame:
+    return _flat(B.frequent_itemsets(Bd.basket_brands(t), SUPPORT, 3, "vertical"))
+
+
 @query("frequent_itemsets_fpgrowth", with_ctes(*_frequent(), body="SELECT s AS itemset, size, c AS count, round(c / n, 6) AS support FROM f CROSS JOIN n"))
 def frequent_itemsets_fpgrowth(t: Tables) -> DataFrame:
     return _flat(B.frequent_itemsets(Bd.basket_brands(t), SUPPORT, 3, method="fpgrowth"))

@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -19,7 +20,7 @@ def brute(baskets, min_support, k):
     return {c: cnt for size in range(1, k + 1) for c in combinations(items, size) for cnt in [sum(set(c) <= s for s in sets)] if cnt / n >= min_support}
 
 
-@pytest.mark.parametrize("method", ["levelwise", "fpgrowth"])
+@pytest.mark.parametrize("method", ["levelwise", "fpgrowth", "vertical"])
 def test_itemsets_have_exact_supports(spark, method):
     for k in (2, 3):
         out = B.frequent_itemsets(long(spark, T5), 0.4, k, method).collect()
@@ -88,3 +89,32 @@ def test_upsert_takes_the_last_change_of_a_key(spark):
     changes = spark.createDataFrame([(1, "b", 5), (1, "c", 9), (3, "n", 1)], "id int, v string, at int")
     assert sorted(map(tuple, S.upsert(old, changes, "id", order=["at"]).collect())) == [(1, "c", 9), (2, "y", 0), (3, "n", 1)]
     assert sorted(map(tuple, S.upsert(old, changes, "id", insert=False).collect())) == [(1, "c", 9), (2, "y", 0)]
+
+
+def test_vertical_mining_of_multiplicities_and_several_slices(spark, monkeypatch):
+    monkeypatch.setattr(B, "SLICE", 64)
+    rng = random.Random(5)
+    baskets = [["a", "b", "c"]] * 13 + [["a", "c", "d", "e"]] * 6 + [rng.sample("abcdefghijk", rng.randint(1, 6)) for _ in range(400)]
+    df = long(spark, baskets).repartition(3)
+    for support, k in ((0.05, 4), (0.03, None)):
+        got = {tuple(r["itemset"]): r["count"] for r in B.frequent_itemsets(df, support, k, "vertical").collect()}
+        assert got == brute(baskets, support, k or 11)
+    levelwise = {tuple(r["itemset"]): r["count"] for r in B.frequent_itemsets(df, 0.05, 4).collect()}
+    assert levelwise == brute(baskets, 0.05, 4)
+
+
+def test_vertical_mining_of_one_very_long_basket(spark):
+    """250 frequent items in one basket have 2.6 million triples; only those with all pairs frequent are counted."""
+    items = [f"i{k:03d}" for k in range(250)]
+    baskets = [items] + [[i] for i in items] + [items[:4]] * 2
+    got = {tuple(r["itemset"]): r["count"] for r in B.frequent_itemsets(long(spark, baskets), 1.5 / len(baskets), 3, "vertical").collect()}
+    assert {s: c for s, c in got.items() if len(s) > 1} == {c: 3 for k in (2, 3) for c in combinations(items[:4], k)}
+    assert sum(len(s) == 1 for s in got) == 250
+
+
+def test_vertical_mining_of_numbers_and_of_nothing(spark):
+    numbers = long(spark, [["9", "10", "11"]] * 2).select("basket_id", F.col("item").cast("int").alias("item"))
+    assert [9, 10, 11] in [list(r["itemset"]) for r in B.frequent_itemsets(numbers, 0.5, None, "vertical").collect()]
+    assert B.frequent_itemsets(long(spark, []), 0.5, None, "vertical").count() == 0
+    with pytest.raises(ValueError):
+        B.frequent_itemsets(long(spark, T5), 0.5, None)
