@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.lineage import cut_lineage
 from ..functions.scalars import safe_div
 from .rows import top_k_per_group
 
@@ -273,3 +274,59 @@ def risk_overlay(nodes: DataFrame, edges: DataFrame, risk_edges: DataFrame) -> D
         F.concat(F.lit("item_"), "herb_a").alias("source"), F.concat(F.lit("item_"), "herb_b").alias("target"),
         F.lit("has_risk_with").alias("type"), F.col("risk_score").alias("weight"), F.lit(None).cast("long").alias("count"))
     return edges.unionByName(edges_among(risk, nodes))
+
+
+#: Rows of a stored adjacency that one bucket should hold.
+BUCKET_EDGES = 1_000_000
+
+
+def store_adjacency(edges: DataFrame, path: str, rows_per_bucket: int = BUCKET_EDGES) -> int:
+    """Write ``edges(source, target, type, ...)`` under either end, in folders per edge type and hash of that end; returns the number of hashes.
+
+    Rows are ``node`` (the end), ``source, target`` and what else the edges hold, repeats dropped. The number of buckets follows the
+    counted rows; a bucket of a hot node is written by several tasks (rebalanced by size) in as many files.
+    """
+    more = [c for c in edges.columns if c not in ("source", "target", "type")]
+    ends = edges.distinct().select(F.explode(F.array_distinct(F.array("source", "target"))).alias("node"), "source", "target", "type", *more)
+    rows = cut_lineage(ends.filter(F.col("node").isNotNull()))
+    buckets = max(1, -(-rows.count() // rows_per_bucket))
+    rows.withColumn("bucket", _bucket("node", buckets)).hint("rebalance", "type", "bucket").write.partitionBy("type", "bucket").parquet(path)
+    return buckets
+
+
+def _bucket(node, buckets: int):
+    return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
+
+
+def stored_neighbours(spark: SparkSession, path: str, buckets: int, frontier: DataFrame | str, edge_type: str) -> DataFrame:
+    """Edges of one type at the nodes of ``frontier(id)``, or at one node, from a stored adjacency of ``buckets``.
+
+    Only the files of the frontier's buckets are read. For one node that is a constant of the plan, and nothing is shuffled; for a
+    frontier its distinct buckets (``buckets`` numbers at most) are asked for first.
+    """
+    stored = spark.read.parquet(path).filter(F.col("type") == edge_type)
+    if isinstance(frontier, str):
+        return stored.filter((F.col("bucket") == _bucket(F.lit(frontier), buckets)) & (F.col("node") == frontier))
+    wanted = frontier.select(F.col("id").alias("node"), _bucket("id", buckets).alias("bucket"))
+    touched = [r.bucket for r in wanted.select("bucket").distinct().collect()]
+    return stored.filter(F.col("bucket").isin(touched)).join(wanted, ["bucket", "node"], "left_semi")
+
+
+def expand_stored(nodes: DataFrame, path: str, buckets: int, start: str, start_type: str, hops: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``expand`` over a stored adjacency: the same nodes and edges, but each hop opens the buckets of its frontier alone.
+
+    The frontier of a hop is written before the next one, so its real size decides whether it is broadcast.
+    """
+    root = f"{start_type}_{start}"
+    known = nodes.filter(F.col("id") == root).select("id")
+    seen, kept, frontier = known, None, root
+    for edge_type in hops:
+        step = stored_neighbours(nodes.sparkSession, path, buckets, frontier, edge_type)
+        if kept is None:  # a start that is no node has no edges either
+            step = step.join(known.withColumnRenamed("id", "node"), "node", "left_semi")
+        step = cut_lineage(step.drop("bucket"))
+        other = F.when(F.col("node") == F.col("source"), F.col("target")).otherwise(F.col("source"))
+        frontier = cut_lineage(step.select(other.alias("id")).distinct())
+        seen = seen.union(frontier)
+        kept = step if kept is None else kept.unionByName(step)
+    return nodes.join(seen.distinct(), "id", "left_semi"), kept.drop("node").distinct()

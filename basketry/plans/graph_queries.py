@@ -130,6 +130,23 @@ def subgraph_from_basket(t: Tables) -> DataFrame:
     return G.subgraph_from_basket(_nodes(t), _edges(t), "77")[0].select("id", "label", "type")
 
 
+def _stored(t: Tables) -> tuple[str, int]:
+    path = f"{checkpoint_dir(t.spark)}/adjacency-{uuid.uuid4().hex}"
+    return path, G.store_adjacency(_edges(t).select("source", "target", "type"), path)
+
+
+@query("stored_subgraph_from_label", _expand_sql("label_1-URGENT", "treats", "contains"))
+def stored_subgraph_from_label(t: Tables) -> DataFrame:
+    """The label's subgraph from edges stored in buckets by either end."""
+    return G.expand_stored(_nodes(t), *_stored(t), "1-URGENT", "label", ["treats", "contains"])[1].select("source", "target", "type")
+
+
+@query("stored_subgraph_from_item", _expand_sql("item_red ring", "contains", "treats"))
+def stored_subgraph_from_item(t: Tables) -> DataFrame:
+    """The item's subgraph from edges stored in buckets by either end."""
+    return G.expand_stored(_nodes(t), *_stored(t), "red ring", "item", ["contains", "treats"])[1].select("source", "target", "type")
+
+
 @query("node_degrees", with_ctes(*Bd.GRAPH, body="SELECT u AS node, count(*) AS degree, round(sum(w), 2) AS weighted_degree FROM sym GROUP BY u"))
 def node_degrees(t: Tables) -> DataFrame:
     return G.degrees(Bd.graph_edges(t)).withColumn("weighted_degree", F.round("weighted_degree", 2))
