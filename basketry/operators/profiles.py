@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from .rows import top_k_per_group
+
 
 def efficacy_profile(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key: mean score ``grade * 25 + (sentiment + 1) * 12.5``, its 95% interval within 0..100, cases, grade
@@ -37,10 +39,15 @@ def rank_profiles(profiles: DataFrame, key: str, min_total_cases: int = 1, skip:
     return kept.orderBy(F.desc("avg_efficacy_score"), F.asc(key)).offset(skip).limit(limit).withColumn("total", total)
 
 
-def value_ranking(profiles: DataFrame, assessed: DataFrame, key: str, limit: int = 8) -> DataFrame:
-    """Best by value = mean score - risk score / 5."""
+def values(profiles: DataFrame, assessed: DataFrame, key: str) -> DataFrame:
+    """Profiles with their risk and ``value`` = mean score - risk score / 5 (no risk known: 0)."""
     j = profiles.join(assessed.select(key, "risk_score", "risk_level"), key, "left").na.fill({"risk_score": 0.0})
-    return j.withColumn("value", F.col("avg_efficacy_score") - F.col("risk_score") / 5).orderBy(F.desc("value"), F.asc(key)).limit(limit)
+    return j.withColumn("value", F.col("avg_efficacy_score") - F.col("risk_score") / 5)
+
+
+def value_ranking(profiles: DataFrame, assessed: DataFrame, key: str, limit: int = 8) -> DataFrame:
+    """Best by value."""
+    return values(profiles, assessed, key).orderBy(F.desc("value"), F.asc(key)).limit(limit)
 
 
 def trials_summary(trials: DataFrame, arms: DataFrame) -> DataFrame:
@@ -50,6 +57,23 @@ def trials_summary(trials: DataFrame, arms: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("trials"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sum("_n").alias("total_patients"))
 
 
+def indication_summary(trials: DataFrame, arms: DataFrame, pooled: DataFrame, ranking: DataFrame, profiles: DataFrame, assessed: DataFrame,
+                       labels: DataFrame, key: str, limit: int = 8) -> DataFrame:
+    """Everything known of an indication in one row: its trials (``trials_summary``), the pooled comparison, the treatments of the network in
+    the order of their rank, and its ``limit`` best profiles by value (of those ``labels(key, indication)`` puts there).
+
+    ``pooled`` and ``ranking`` are ``meta_analysis`` per indication and ``treatment_ranking``. An indication is listed when it has a trial; what
+    is not known of it is null, its lists are then empty. Only the best profiles of an indication are collected, never its whole group.
+    """
+    best = top_k_per_group(values(profiles, assessed, key).join(labels.select(key, "indication").distinct(), key), ["indication"], [F.desc("value"), F.asc(key)], limit)
+    fields = ("rank", key, "value", "avg_efficacy_score", "avg_days_to_effect", "risk_score", "risk_level")
+    top = best.groupBy("indication").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("top_by_value"))
+    treatments = ranking.groupBy("indication").agg(F.sort_array(F.collect_list(F.struct("rank", "treatment", "net_score"))).alias("network"))
+    meta = pooled.select("indication", F.struct(*[c for c in pooled.columns if c != "indication"]).alias("meta"))
+    out = trials_summary(trials, arms).join(meta, "indication", "left").join(treatments, "indication", "left").join(top, "indication", "left")
+    return out.withColumns({"network": F.coalesce("network", F.array()), "top_by_value": F.coalesce("top_by_value", F.array())})
+
+
 def item_profile(items: DataFrame, toxic: DataFrame, dose_fit: DataFrame) -> DataFrame:
     """Item attributes with toxicity and dose-response summary (null where unknown)."""
     t = toxic.withColumn("is_toxic", F.lit(True))

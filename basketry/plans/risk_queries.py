@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import cut_lineage
-from ..operators import profiles as P, risk as R
+from ..operators import meta as M, profiles as P, risk as R
 from . import bindings as Bd
 from .catalog import Tables, query, with_ctes
+from .evidence_queries import NMA, POOL, _arms, _studies
 from .text_queries import _evaluated, GRADED
 
 NAMES = ("nm", "SELECT p_name AS item, count(*) AS c FROM part GROUP BY p_name")
@@ -270,3 +273,34 @@ def enriched_baskets(t: Tables) -> DataFrame:
 def value_ranking(t: Tables) -> DataFrame:
     out = P.value_ranking(_case_profiles(t), _assess(t, Knowledge(t)), "basket_id", 8)
     return out.select("basket_id", F.round("value", 6).alias("value"))
+
+
+VALUED = [*ASSESSED, *[(n + "_g" if n == "ana" else n, s.replace("FROM ana", "FROM ana_g")) for n, s in GRADED], CASE_PROFILE]
+#: The trials' parts, under other names where the risk parts have the same.
+TRIALS = [tuple(re.sub(r"\b(sides|sc)\b", r"trial_\1", x) for x in part) for part in dict([*POOL, *NMA]).items()]
+SUMMARY = [
+    *dict(VALUED).items(), *TRIALS,
+    ("placed", "SELECT o_orderkey AS basket_id, r_name AS indication FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"),
+    ("best", "SELECT indication, prof.basket_id, m - coalesce(score, 0) * 100 / 5 AS value FROM prof JOIN placed ON placed.basket_id = prof.basket_id LEFT JOIN assessed ON assessed.basket_id = prof.basket_id "
+             "QUALIFY row_number() OVER (PARTITION BY indication ORDER BY value DESC, prof.basket_id) <= 8"),
+    ("tops", "SELECT indication, string_agg(CAST(basket_id AS VARCHAR), ',' ORDER BY value DESC, basket_id) AS top_baskets, round(max(value), 6) AS top_value FROM best GROUP BY indication"),
+    ("nets", "SELECT indication, string_agg(treatment, ',' ORDER BY rank) AS treatments FROM rk GROUP BY indication"),
+    ("runs", "SELECT indication, count(DISTINCT trial_id) AS trials, min(year) AS first_year, max(year) AS last_year, CAST(sum(sample_size) AS BIGINT) AS total_patients FROM arms GROUP BY indication"),
+]
+
+
+@query("indication_summary", with_ctes(*SUMMARY, body=(
+    "SELECT runs.*, round(es, 6) AS pooled_effect_size, k AS trials_included, coalesce(treatments, '') AS treatments, coalesce(top_baskets, '') AS top_baskets, top_value "
+    "FROM runs LEFT JOIN pooled ON pooled.indication = runs.indication LEFT JOIN nets ON nets.indication = runs.indication LEFT JOIN tops ON tops.indication = runs.indication")))
+def indication_summary(t: Tables) -> DataFrame:
+    """An order belongs to the region of its customer."""
+    arms = cut_lineage(_arms(t))
+    placed = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).join(
+        t.region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("o_orderkey").alias("basket_id"), F.col("r_name").alias("indication"))
+    out = P.indication_summary(arms.select("trial_id", "indication", "year").distinct(), arms, M.meta_analysis(_studies(t), ["indication"]), M.treatment_ranking(arms),
+                               _case_profiles(t), _assess(t, Knowledge(t)), placed, "basket_id", 8)
+    top = F.col("top_by_value")
+    return out.select(
+        "indication", "trials", "first_year", "last_year", "total_patients", F.round("meta.pooled_effect_size", 6).alias("pooled_effect_size"), "meta.trials_included",
+        F.array_join(F.transform("network", lambda x: x["treatment"]), ",").alias("treatments"),
+        F.array_join(F.transform(top, lambda x: x["basket_id"].cast("string")), ",").alias("top_baskets"), F.round(F.try_element_at(top, F.lit(1))["value"], 6).alias("top_value"))
