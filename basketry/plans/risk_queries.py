@@ -304,3 +304,12 @@ def indication_summary(t: Tables) -> DataFrame:
         "indication", "trials", "first_year", "last_year", "total_patients", F.round("meta.pooled_effect_size", 6).alias("pooled_effect_size"), "meta.trials_included",
         F.array_join(F.transform("network", lambda x: x["treatment"]), ",").alias("treatments"),
         F.array_join(F.transform(top, lambda x: x["basket_id"].cast("string")), ",").alias("top_baskets"), F.round(F.try_element_at(top, F.lit(1))["value"], 6).alias("top_value"))
+
+
+@query("score_lookup", with_ctes(*VALUED, body=(
+    "SELECT o_orderkey AS basket_id, round(m, 6) AS avg_efficacy_score, m IS NOT NULL AS known FROM orders LEFT JOIN prof ON prof.basket_id = o_orderkey")))
+def score_lookup(t: Tables) -> DataFrame:
+    """The stored profile of every order asked for, null where there is none."""
+    asked = t.orders.select(F.col("o_orderkey").alias("basket_id"))
+    found = P.score_lookup(asked, cut_lineage(_case_profiles(t)), "basket_id")
+    return found.select("basket_id", F.round("avg_efficacy_score", 6).alias("avg_efficacy_score"), F.col("avg_efficacy_score").isNotNull().alias("known"))

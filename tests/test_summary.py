@@ -19,3 +19,10 @@ def test_indication_summary(spark):
     # 11 loses 60 / 5 = 12 of its 61 points
     assert [(t.rank, t.name, t.value) for t in x.top_by_value] == [(1, 10, 60.0), (2, 9, 59.0), (3, 8, 58.0)]
     assert (y.trials, y.total_patients, y.meta, y.network, y.top_by_value) == (1, 7, None, [], [])
+
+
+def test_score_lookup_of_unknown_and_repeated_names(spark):
+    asked = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "name string")
+    profiles = spark.createDataFrame([("a", 70.0), ("c", 10.0)], "name string, avg_efficacy_score double")
+    assert {r.name: r.avg_efficacy_score for r in P.score_lookup(asked, profiles).collect()} == {"a": 70.0, "b": None, None: None}
+    assert P.score_lookup(asked, profiles).count() == 3
