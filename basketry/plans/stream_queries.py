@@ -15,8 +15,11 @@ from .text_queries import LEXICON, PATTERNS, lexicon_sql
 
 
 def _source(t: Tables, table: str) -> DataFrame:
-    schema = getattr(t, table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", 1).parquet(t.folder)
+    """A table as a stream, be it a file or a folder of files; what is there at the start is one batch, so the order of its files says nothing.
+
+    The path is a pattern because the file source takes a path without one for a folder.
+    """
+    return t.spark.readStream.schema(getattr(t, table).schema).parquet(f"{t.folder}/{table}.parque[t]")
 
 
 def _folder(t: Tables) -> str:
