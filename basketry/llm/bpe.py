@@ -198,7 +198,7 @@ class Memory(dict):
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = MEMORY):
         super().__init__()
-        self._encode, self._limit = encode, limit
+        self.encode, self._limit = encode, limit
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of every text."""
@@ -208,17 +208,21 @@ class Memory(dict):
             cuts.append(t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if plain else [])
         found = [list(map(self.get, c)) for c in cuts]
         fresh = {k for c, f in zip(cuts, found) for k, v in zip(c, f) if v is None}
-        if len(self) + 2 * len(fresh) > self._limit:
-            self.clear()
-            self.update((k, v) for c, f in zip(cuts, found) for k, v in zip(c, f) if v is not None)
-        self._add(fresh)
-        whole = iter(self._encode([t for t, c in zip(texts, cuts) if t and not c]))
+        self.learn(fresh, ((k, v) for c, f in zip(cuts, found) for k, v in zip(c, f) if v is not None))
+        whole = iter(self.encode([t for t, c in zip(texts, cuts) if t and not c]))
         out = []
         for t, c, f in zip(texts, cuts, found):
             ids = b"".join([self[k] if v is None else v for k, v in zip(c, f)]) if c else next(whole) if t else b""
             out.append(np.frombuffer(ids, np.uint32))
         return out
 
+    def learn(self, fresh: set[str], held: Iterable[tuple[str, bytes]]) -> None:
+        """Encode new cuts; if the memory is full, only ``held`` is kept of it."""
+        if len(self) + 2 * len(fresh) > self._limit:
+            self.clear()
+            self.update(held)
+        self._add(fresh)
+
     def _add(self, fresh: set[str]) -> None:
         """Encode cuts; letters followed by closing punctuation are two matches of the pattern, remembered one by one."""
         pairs, plain = {}, set()
@@ -230,7 +234,7 @@ class Memory(dict):
                 plain.add(k)
         plain.update(x for two in pairs.values() for x in two)
         plain = [k for k in plain if k not in self]
-        self.update(zip(plain, self._encode(plain)))
+        self.update(zip(plain, self.encode(plain)))
         self.update((k, self[a] + self[b]) for k, (a, b) in pairs.items())
 
 

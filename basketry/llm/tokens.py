@@ -26,6 +26,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .bpe import Memory
-from .textkit import text_slices
+from .textkit import text_slices, utf8_buffer
 
 #: Longest code; 2**MAX_BITS entries of the decoding table.
 MAX_BITS = 18
 #: Ids between two checkpoints, and ids after which a block is closed (with the document it is in).
 SEGMENT, BLOCK_IDS = 256, 1 << 20
-
+#: Bytes of text cut into pieces at once, and bytes of the longest piece that is remembered.
+TEXT_BYTES, LONG_PIECE = 4 << 20, 200
+
+#: What a byte is to the cuts: a blank, a line feed, other white space of one byte, closing punctuation, or the first byte of longer white space.
+_BLANK, _FEED, _SPACE, _CLOSING, _WIDE = range(1, 6)
+# U+180E was white space in older versions of Unicode
+_SPACES = [chr(c).encode() for c in range(0x3001) if chr(c).isspace() or c == 0x180E]
+_WIDE_SPACES = np.array([int.from_bytes(c.ljust(3, b"\0"), "big") for c in _SPACES if len(c) > 1], np.int64)
+_KIND = np.zeros(256, np.uint8)
+_KIND[[c[0] for c in _SPACES if len(c) == 1]] = _SPACE
+_KIND[[c[0] for c in _SPACES if len(c) > 1]] = _WIDE
+_KIND[32], _KIND[10], _KIND[[*b".,;:!?"]] = _BLANK, _FEED, _CLOSING
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+_CODEC, _HEAD = pa.Codec("zstd"), Struct("<QB")
 BLOCKS = "shard int, block int, doc_ids array<bigint>, lengths array<bigint>, checkpoints binary, bits binary"
 
 
@@ -60,22 +76,31 @@ def _memory(path: str) -> Memory:
     gc.disable()
 
     # A blank and letters are one piece for a byte-level splitter, and only the first token of such a piece begins with the blank.
-    # So many of them are encoded as one text and cut before those tokens.
-    blank = _byte_alphabet()[ord(" ")]
-    begins = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
-    begins[[k for t, k in tokenizer.get_vocab().items() if t.startswith(blank)]] = True
+    # So many of them are encoded as one text and cut before those tokens. Letters alone are one piece, too, and so is a line feed between two of them.
+    vocabulary, alphabet = tokenizer.get_vocab(), _byte_alphabet()
+    begins = np.zeros(max(vocabulary.values()) + 1, bool)
+    begins[[k for t, k in vocabulary.items() if t.startswith(alphabet[ord(" ")])]] = True
+    feed = vocabulary.get(alphabet[ord("\n")])
+
+    def encode_many(words: list[str], between: str) -> Iterator[np.ndarray]:
+        texts = [between.join(words[a:a + 1000]) for a in range(0, len(words), 1000)]
+        for a in range(0, len(texts), 20):
+            yield np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast([t + between for t in texts[a:a + 20]], add_special_tokens=False)])
 
     def encode_words(words: list[str]) -> Iterator[bytes]:
-        texts = ["".join(words[a:a + 1000]) for a in range(0, len(words), 1000)]
-        for a in range(0, len(texts), 20):
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts[a:a + 20], add_special_tokens=False)])
+        for ids in encode_many(words, ""):
             data, cuts = ids.tobytes(), [*(4 * np.flatnonzero(begins[ids])).tolist(), 4 * len(ids)]
             yield from [data[b:e] for b, e in zip(cuts, cuts[1:])]
 
+    def encode_bare(words: list[str]) -> Iterator[bytes]:
+        for ids in encode_many(words, "\n"):
+            data, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == feed)).tolist()
+            yield from [data[b:e] for b, e in zip([0, *[c + 4 for c in cuts]], cuts)]
+
     def encode(texts: list[str]) -> list[bytes]:
-        words = [t[:1] == " " and t[1:].isalpha() for t in texts]
-        of_words, rest = encode_words([t for t, one in zip(texts, words) if one]), iter(encode_whole([t for t, one in zip(texts, words) if not one]))
-        return [next(of_words) if one else next(rest) for one in words]
+        kinds = [0 if t[:1] == " " and t[1:].isalpha() else 1 if feed is not None and t.isalpha() else 2 for t in texts]
+        ways = [iter(way([t for t, one in zip(texts, kinds) if one == k])) for k, way in enumerate((encode_words, encode_bare, encode_whole))]
+        return [next(ways[k]) for k in kinds]
 
     def encode_whole(texts: list[str]) -> list[bytes]:
         out = []
@@ -92,40 +117,101 @@ def _memory(path: str) -> Memory:
     return Memory(encode)
 
 
+def piece_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Offsets of a UTF-8 buffer at which the byte-level splitter begins a new piece and would, too, if the text began or ended there.
+
+    These are the offsets ``texts`` of the texts in it, the first character of white space if it is a blank or a line feed, what follows a
+    line feed between two non-blanks, and closing punctuation after a letter of ASCII or Latin-1.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    white = np.zeros(n + 1, bool)
+    white[:n] = (kind > 0) & (kind <= _SPACE)
+    lead = np.flatnonzero(kind == _WIDE)
+    first, second, third = (data[np.minimum(lead + k, n - 1)].astype(np.int64) for k in range(3))
+    lead = lead[np.isin(first << 16 | second << 8 | np.where(first == 0xC2, 0, third), _WIDE_SPACES)]
+    white[lead] = white[lead + 1] = True
+    white[lead[data[lead] != 0xC2] + 2] = True
+    cut = np.zeros(n + 1, bool)
+    at = np.flatnonzero((kind == _BLANK) | (kind == _FEED))
+    at = at[~white[at - 1]]  # at 0, a text begins anyway
+    cut[at] = True
+    after = at[data[at] == 10] + 1
+    cut[after[~white[after]]] = True
+    at = np.flatnonzero(kind == _CLOSING)
+    one, two = data[at - 1], data[at - 2] if n > 1 else data[at - 1]
+    cut[at[_LETTER[one] | (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)]] = True  # all but the signs of U+00D7 and U+00F7
+    cut[texts] = True
+    return np.flatnonzero(cut[:n])
+
+
+def ids_of(memory: Memory, texts: pa.Array, tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts (null: empty), each followed by those of ``tail``, and where each text ends in them.
+
+    Equal pieces are found by Arrow's dictionary; the distinct ones are looked up, and encoded by the library if they are new.
+    """
+    data, offsets = utf8_buffer(texts)
+    starts = piece_starts(data, offsets[:-1])
+    # each text ends with an empty piece, which stands for the tail
+    last = np.searchsorted(starts, offsets[1:]) + np.arange(len(texts))
+    edges = np.append(np.insert(starts, last - np.arange(len(texts)), offsets[1:]), len(data))
+    pieces = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(data)).dictionary_encode()
+    which, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+    found = list(map(memory.get, distinct))
+    found[which[last[0]]] = tail
+    long = [k for k in distinct if len(k) > LONG_PIECE]
+    own = dict(zip(long, memory.encode(long)))
+    new = [k for k, v in enumerate(found) if v is None]
+    memory.learn({distinct[k] for k in new} - own.keys(), ((k, v) for k, v in zip(distinct, found) if v is not None and k))
+    for k in new:
+        found[k] = own.get(distinct[k]) or memory[distinct[k]]
+    known = np.frombuffer(b"".join(found), np.uint32)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    begin = (np.cumsum(sizes) - sizes)[which]
+    sizes = sizes[which]
+    ends = np.cumsum(sizes)
+    at = np.repeat(begin - ends + sizes, sizes)
+    at += np.arange(len(at))
+    return known[at], ends[last]
+
+
 def encode_ids(docs: DataFrame, path: str, end_id: int | None = None, text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers, zlib-packed by byte plane) of every whole text, and ``counts``.
+    """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers, packed by byte plane) of every whole text, and ``counts``.
 
-    The tokenizer's pre-splitting is that of byte-level BPE, which begins a new piece at every blank or line feed
-    between two non-blanks; the cuts between them are encoded once per task and looked up afterwards.
+    Texts are cut where byte-level pre-splitting begins a new piece (``piece_starts``); the distinct pieces are encoded once per task and looked up afterwards.
     ``counts`` is null in the rows of documents; the last row of each task has nothing else: how often the task has seen each id, 64-bit integers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, names = _memory(path), ["doc_id", "n_tokens", "ids", "counts"]
-        tail = np.array([] if end_id is None else [end_id], np.uint32)
+        tail = np.array([] if end_id is None else [end_id], np.uint32).tobytes()
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in text_slices(batch, "_text"):
-                ids = [np.concatenate([x, tail]) for x in memory.ids_of([t or "" for t in part.column("_text").to_pylist()])]
-                seen = np.bincount(np.concatenate(ids), minlength=len(total))
+            for part in text_slices(batch, "_text", TEXT_BYTES):
+                ids, ends = ids_of(memory, part.column("_text"), tail)
+                seen = np.bincount(ids, minlength=len(total))
                 seen[:len(total)] += total
                 total = seen
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+                begins = np.append(0, ends[:-1])
+                packed = pa.array([pack(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ends - begins), packed, pa.nulls(len(ends), pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, counts binary")
 
 
 def pack(ids: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T
-    packer = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)  # bytes of ids hardly repeat in sequence
-    return packer.compress(planes.tobytes()) + packer.flush()
+    """The number of ids and of their byte planes that are not all zero, and these planes packed by Zstandard."""
+    planes = (int(ids.max(initial=0)).bit_length() + 7) // 8
+    data = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T[:planes]
+    return _HEAD.pack(len(ids), planes) + _CODEC.compress(data.tobytes(), asbytes=True)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    n, planes = _HEAD.unpack_from(blob)
+    ids = np.zeros((n, 4), np.uint8)
+    ids[:, :planes] = np.frombuffer(_CODEC.decompress(memoryview(blob)[_HEAD.size:], n * planes, asbytes=True), np.uint8).reshape(planes, n).T
+    return ids.view("<u4").ravel()
 
 
 def count_ids(encoded: DataFrame) -> DataFrame:

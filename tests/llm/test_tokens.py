@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from basketry.llm import tokens
@@ -56,3 +57,53 @@ def test_files(spark, docs, tmp_path, monkeypatch):
 def test_repeated_and_null_ids(docs, tmp_path):
     got = tokens.round_trip(docs(["a b", "c", "c", None], [3, 3, None, 1]), PATH, 0, f"file://{tmp_path}/t").collect()
     assert sorted(r.start for r in got)[0] == 0 and sum(r.n_tokens for r in got) == 2 + 2 + 1 + 3 and len({r.start for r in got}) == 4
+
+
+def odd_texts(n):
+    parts = [" ", " ", "  ", "\n", "\n\n", "\t", "\r", "\x1c", "\x85", "\xa0", "᠎", " ", "　", "​", "\0", "a", "Ab", "é", "×", "ª", "漢字", "“", "…", "it's", "'ll", "23", "²",
+             ".", ",", "!!", "<|endoftext|>", "😀", "ing", "x" * 210]
+    rng = np.random.default_rng(2)
+    return ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 14))) for _ in range(n)]
+
+
+def test_cuts_at_odd_white_space_and_signs():
+    library, memory = Tokenizer.from_file(PATH), tokens._memory(PATH)
+    texts = [None, "", *odd_texts(4000), "", None]
+    ids, ends = tokens.ids_of(memory, pa.array(texts, pa.string()), np.array([7], "<u4").tobytes())
+    for text, a, b in zip(texts, [0, *ends[:-1]], ends):
+        assert ids[a:b].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 7], text
+
+
+def test_pieces_are_looked_up_once_a_slice_and_encoded_once():
+    given, looked_up = [], []
+    of_library = tokens._memory(PATH).encode
+
+    class Counting(tokens.Memory):
+        def get(self, piece):
+            looked_up.append(piece)
+            return super().get(piece)
+
+    memory = Counting(lambda texts: given.extend(texts) or of_library(texts))
+    texts = pa.array([" ".join(f"word{'abcde'[(k + j) % 5]}" for j in range(50)) + ".  End\tof é, text\n" for k in range(200)])
+    first, again = (tokens.ids_of(memory, texts)[0] for _ in range(2))
+    assert (first == again).all() and len(first) > 200 * 50
+    assert len(given) == len(set(given)) < 30 and len(looked_up) < 60
+
+
+def test_a_full_memory_keeps_what_is_at_hand():
+    of_library = tokens._memory(PATH).encode
+    memory, library = tokens.Memory(of_library, 20), Tokenizer.from_file(PATH)
+    for k in range(30):
+        text = f"{' '.join(f'word{chr(97 + (k + j) % 26)}' for j in range(8))} {'long' * 60}"
+        assert tokens.ids_of(memory, pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(memory) <= 40 and max(map(len, memory)) <= tokens.LONG_PIECE
+
+
+def test_packed_ids_hold_no_empty_planes():
+    rng = np.random.default_rng(3)
+    for top in (1, 250, 1 << 16, 1 << 20, 1 << 32):
+        for n in (0, 1, 3000):
+            ids = rng.integers(0, top, n).astype(np.uint32)
+            blob = tokens.pack(ids)
+            assert (tokens.unpack(blob) == ids).all() and len(tokens.unpack(blob)) == n
+            assert len(blob) < 60 + n * (((top - 1).bit_length() + 7) // 8)
